@@ -96,7 +96,7 @@ def _stats_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def key_results(rows: DataFrame, key: F.Column, target: F.Column, score: F.Column | None, *, tasks: int) -> tuple[DataFrame, Plan]:
-    """Per key: rows, distinct targets, mean score (null and NaN don't count); and the plan that balanced the work.
+    """Per key: rows, distinct targets, number, sum and mean of scores (null and NaN don't count); and the plan that balanced it.
 
     Rows with a null key are left out; null targets aren't counted as targets; a key whose scores are all missing has
     a null mean; no rows give no keys. Columns of the input may have any names, only the three expressions are used.
@@ -109,7 +109,7 @@ def key_results(rows: DataFrame, key: F.Column, target: F.Column, score: F.Colum
     by = plan(pairs.groupBy("key").agg(F.count("*").alias("load")), "key", "load", tasks=tasks)
     parts = place(pairs, "key", ["target"], by).repartitionById(tasks, F.col("_task")).drop("_task", "_shard").mapInPandas(_stats_in_task, pairs.select("key").schema.simpleString()[7:-1] + ", rows long, targets long, score_sum double, scores long")
     merged = parts.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("targets").alias("targets"), F.sum("score_sum").alias("s"), F.sum("scores").alias("c"))
-    return merged.select("key", "rows", "targets", F.when(F.col("c") > 0, F.col("s") / F.col("c")).alias("mean_score")), by
+    return merged.select("key", "rows", "targets", F.col("c").alias("scores"), F.col("s").alias("score_sum"), F.when(F.col("c") > 0, F.col("s") / F.col("c")).alias("mean_score")), by
 
 
 def hot_keys(results: DataFrame, *, least_share: float) -> DataFrame:

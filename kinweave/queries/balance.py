@@ -32,7 +32,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_from_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return _by_from_key(spark, folder).select(F.col("key").alias("from_key"), "rows", "targets", F.round("mean_score", 6).alias("mean_score"))
+    return _by_from_key(spark, folder).select(F.col("key").alias("from_key"), "rows", "targets", F.when(F.col("scores") > 0, F.round("score_sum", 6) / F.col("scores")).alias("mean_score"))
 
 
 def p6_states(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +60,7 @@ ORACLE = {
         SELECT 'state' AS field, {_STATE} AS hot_key FROM to_units WHERE state IS NOT NULL GROUP BY {_STATE}
         HAVING count(*) >= 0.03 * (SELECT count(state) FROM to_units)""",
     "p6_from_keys": """
-        SELECT from_key, count(*) AS rows, count(DISTINCT to_key) AS targets, round(avg(score) FILTER (NOT isnan(score)), 6) AS mean_score
+        SELECT from_key, count(*) AS rows, count(DISTINCT to_key) AS targets, CASE WHEN count(score) FILTER (NOT isnan(score)) > 0 THEN round(sum(score) FILTER (NOT isnan(score)), 6) / count(score) FILTER (NOT isnan(score)) END AS mean_score
         FROM crosswalk WHERE from_key IS NOT NULL GROUP BY from_key""",
     "p6_states": f"SELECT {_STATE} AS state_key, count(*) AS rows, count(DISTINCT district) AS districts FROM to_units WHERE state IS NOT NULL GROUP BY {_STATE}",
     "p6_earlier_state": """
