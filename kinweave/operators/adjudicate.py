@@ -72,15 +72,16 @@ def rule_decisions(frame_from: DataFrame, candidates: DataFrame, spec: Spec, *,
 
 
 def batch_items(frame_from: DataFrame, candidates: DataFrame, frame_to: DataFrame, spec: Spec) -> DataFrame:
-    """Rows (batch, place, from_key, item): what an adjudicator sees of each row, as JSON, in batches in input order."""
+    """Rows (batch, place, from_key, item, candidates): what an adjudicator sees of each row, as JSON, in batches in input order."""
     context = lambda alias, kind, names: F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.col(f"{alias}.{kind}{i}").cast("string"))]) if names else F.create_map().cast("map<string,string>")
     c, t = candidates.alias("c"), frame_to.alias("t")
     payload = F.struct(F.col("c.rank").alias("rank"), F.col("c.to_key").alias("to_key"), F.col("c.to_name").alias("to_name"), F.col("c.to_canonical").alias("to_canonical_name"), F.col("c.score").alias("score"), context("t", "x", spec.exact_match).alias("exact_match_context"), context("t", "c", spec.extra_context_cols).alias("extra_context"))
-    lists = c.join(t, F.col("c.to_key") == F.col("t.key")).groupBy(F.col("c.from_key").alias("from_key")).agg(F.array_sort(F.collect_list(payload)).alias("candidates"))
+    one = F.struct(F.col("c.rank").alias("rank"), F.to_json(payload).alias("json"))
+    lists = c.join(t, F.col("c.to_key") == F.col("t.key")).groupBy(F.col("c.from_key").alias("from_key")).agg(F.array_sort(F.collect_list(one)).alias("candidates"))
     f = with_position(frame_from, ["ord"], "place").alias("f")
     items = f.join(lists, F.col("f.key") == F.col("from_key"), "left")
-    item = F.to_json(F.struct(F.col("f.key").alias("from_key"), F.col("f.name").alias("from_name"), F.col("f.canonical").alias("from_canonical_name"), context("f", "x", spec.exact_match).alias("exact_match_context"), context("f", "c", spec.extra_context_cols).alias("extra_context"), F.coalesce("candidates", F.array()).alias("candidates")))
-    return items.select(F.floor(F.col("f.place") / spec.batch_size).alias("batch"), F.col("f.place").alias("place"), F.col("f.key").alias("from_key"), item.alias("item"))
+    item = F.to_json(F.struct(F.col("f.key").alias("from_key"), F.col("f.name").alias("from_name"), F.col("f.canonical").alias("from_canonical_name"), context("f", "x", spec.exact_match).alias("exact_match_context"), context("f", "c", spec.extra_context_cols).alias("extra_context")))
+    return items.select(F.floor(F.col("f.place") / spec.batch_size).alias("batch"), F.col("f.place").alias("place"), F.col("f.key").alias("from_key"), item.alias("item"), F.coalesce("candidates.json", F.array().cast("array<string>")).alias("candidates"))
 
 
 def with_retries(call: Callable, *, attempts: int, base: float, most: float, jitter: float, sleep: Callable[[float], None] = time.sleep):
@@ -140,7 +141,8 @@ def python_decisions(items: DataFrame, adjudicator: Adjudicator, spec: Spec) ->
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         ordered = batch.sort_values("place")
-        records = adjudicate_batch(adjudicator, [json.loads(x) for x in ordered["item"]], str(int(ordered["batch"].iloc[0]) + 1), spec)
+        items_ = [json.loads(i) | {"candidates": [json.loads(c) for c in cs]} for i, cs in zip(ordered["item"], ordered["candidates"])]
+        records = adjudicate_batch(adjudicator, items_, str(int(ordered["batch"].iloc[0]) + 1), spec)
         return pd.DataFrame(records, columns=["from_key", "match_stage", "status", "links", "error", "batch", "logged_at"])
 
     return items.groupBy("batch").applyInPandas(run, DECISION)
