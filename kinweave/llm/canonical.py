@@ -14,12 +14,12 @@ MAX_EDITS = 2
 def matching_sql(k: int = MAX_EDITS) -> str:
     """Columns typed_name, canon_id over {name} and {entry}, both parsed: the entry meant, for names that have one."""
     return f"""
-    WITH piece AS ({reference_segments("{entry}", "stem", k)}),
+    WITH piece AS ({reference_segments("(SELECT * FROM {entry} WHERE stem <> '')", "stem", k)}),
     probe AS ({probing_segments("(SELECT * FROM {name} WHERE stem <> '')", "stem", k)}),
     pair AS (
       SELECT DISTINCT p.typed_name, e.canon_id, e.unit_name, levenshtein(p.stem, e.stem, {k}) AS edits
       FROM probe p JOIN piece e ON p._n = e._n AND p._i = e._i AND p._seg = e._seg
-      WHERE levenshtein(p.stem, e.stem, {k}) >= 0 AND p.nums = e.nums
+      WHERE levenshtein(p.stem, e.stem, {k}) BETWEEN 0 AND length(e.stem) DIV 3 AND p.nums = e.nums
         AND CASE WHEN size(e.dirs) = 0 THEN size(p.dirs) = 0 ELSE array_contains(p.dirs, e.dirs[0]) END)
     SELECT typed_name, min_by(canon_id, struct(edits, levenshtein(lower(typed_name), lower(unit_name)), canon_id)) AS canon_id
     FROM pair GROUP BY typed_name
@@ -36,7 +36,8 @@ REPORT_SQL = """
 def map_to_entries(typed: DataFrame, entries: DataFrame, *, k: int = MAX_EDITS) -> DataFrame:
     """Columns ord, canon_id: each row of typed(ord, typed_name) with the entry of entries(canon_id, unit_name) meant.
 
-    0 reports that no entry is within k edits of stem with the same direction; so do null, empty and non-Latin names.
+    0 reports that no entry is within k edits of stem, at most one for three of its letters, with the same direction;
+    so do null, empty and non-Latin names.
     Among entries equally near the one whose spelling, accents included, is nearest counts, then the smaller id.
     Repeated names are compared once; an empty list leaves all names unmatched; other columns don't matter. Work grows
     with names times the entries that share a segment of equal place and length, never with names times entries.
