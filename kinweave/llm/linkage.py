@@ -67,9 +67,12 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 100, prior
 
 
 def posterior(model: Model) -> F.Column:
+    """Probability of a match by the levels; a name further away never weighs more than a nearer one."""
     odds = F.lit(np.log(model.share / (1 - model.share)))
     for field in LEVELS:
         weights = [float(np.log(a / b)) for a, b in zip(model.m[field], model.u[field])]
+        if field == "name":
+            weights = np.minimum.accumulate(weights).tolist()
         odds = odds + F.element_at(F.array(*map(F.lit, weights)), F.col(field) + 1)
     return 1 / (1 + F.exp(-odds))
 
