@@ -23,14 +23,16 @@ BINS_PER_TASK = 16
 
 @dataclass(frozen=True)
 class Plan:
-    """Where the rows of each key go. heavy: key, shards and the first of its slots; slots: the task of every slot."""
+    """Where the rows of each key go. heavy: key, shards and the first of its places; places: the task of every place.
+
+    Virtual bins are the places from 0, shards those after them.
+    """
 
     tasks: int
     bins: int
     share: int
     heavy: DataFrame
-    bin_task: list[int]
-    slot_task: list[int]
+    places: DataFrame
     task_load: list[int]
 
 
@@ -46,35 +48,32 @@ def plan(loads: DataFrame, key: str, load: str, *, tasks: int) -> Plan:
     large = F.col(load) * 2 > share
     heavy = [(k, n) for k, n in loads.where(large).select(key, load).collect()]
     light = dict(loads.where(~large).groupBy(F.pmod(F.xxhash64(key), F.lit(bins)).alias("bin")).agg(F.sum(load).alias("n")).collect())
-    pieces = []
+    sizes = [float(light.get(b, 0)) for b in range(bins)]
     rows = []
     for k, n in heavy:
         shards = -(-n // share)
-        rows.append((k, shards, len(pieces)))
-        pieces += [n / shards] * shards
-    slot_task, bin_task = [0] * len(pieces), [0] * bins
-    queue = [(0.0, t) for t in range(tasks)]
-    for size, kind, at in sorted([(n, 0, i) for i, n in enumerate(pieces)] + [(float(light.get(b, 0)), 1, b) for b in range(bins)], reverse=True):
+        rows.append((k, shards, len(sizes)))
+        sizes += [n / shards] * shards
+    tasks_of, queue = [0] * len(sizes), [(0.0, t) for t in range(tasks)]
+    for at in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         held, task = heapq.heappop(queue)
-        (slot_task if kind == 0 else bin_task)[at] = task
-        heapq.heappush(queue, (held + size, task))
-    schema = T.StructType([T.StructField(key, loads.schema[key].dataType), T.StructField("_shards", T.IntegerType()), T.StructField("_slot", T.IntegerType())])
+        tasks_of[at] = task
+        heapq.heappush(queue, (held + sizes[at], task))
+    schema = T.StructType([T.StructField(key, loads.schema[key].dataType), T.StructField("_shards", T.IntegerType()), T.StructField("_first", T.IntegerType())])
+    places = spark.createDataFrame(list(enumerate(tasks_of)), "_at int, _task int")
     task_load = [round(n) for n, _ in sorted(queue, key=lambda x: x[1])]
-    return Plan(tasks, bins, share, spark.createDataFrame(rows, schema), bin_task, slot_task, task_load)
-
-
-def _lookup(values: list[int], at) -> F.Column:
-    return F.element_at(F.array(*map(F.lit, values)), at + 1) if values else F.lit(0)
+    return Plan(tasks, bins, share, spark.createDataFrame(rows, schema), places, task_load)
 
 
 def place(rows: DataFrame, key: str, spread: list[str], by: Plan) -> DataFrame:
     """rows with _task and _shard; the rows of a large key are spread over its shards by a hash of `spread`.
 
-    The joined table has at most 2 * tasks rows, whatever the data, so it is broadcast.
+    The joined tables have at most 2 * tasks rows and one per bin and shard, whatever the data, so they are broadcast.
     """
-    placed = rows.join(F.broadcast(by.heavy), key, "left").withColumn("_shard", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_shards")), F.lit(0)).cast("int"))
-    task = F.when(F.col("_slot").isNull(), _lookup(by.bin_task, F.pmod(F.xxhash64(key), F.lit(by.bins)).cast("int"))).otherwise(_lookup(by.slot_task, F.col("_slot") + F.col("_shard")))
-    return placed.withColumn("_task", task).drop("_shards", "_slot")
+    shard = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_shards")), F.lit(0)).cast("int")
+    placed = rows.join(F.broadcast(by.heavy), key, "left").withColumn("_shard", shard)
+    at = F.when(F.col("_first").isNull(), F.pmod(F.xxhash64(key), F.lit(by.bins))).otherwise(F.col("_first") + F.col("_shard")).cast("int")
+    return placed.withColumn("_at", at).join(F.broadcast(by.places), "_at").drop("_at", "_shards", "_first")
 
 
 def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], by: Plan) -> DataFrame:

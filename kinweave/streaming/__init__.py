@@ -1 +1 @@
-
+"""No operator streams: runs resume from their decision log instead (plans/store.py)."""
