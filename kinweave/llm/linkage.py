@@ -161,17 +161,28 @@ def link(lost: DataFrame, units: DataFrame) -> tuple[DataFrame, Model]:
     unit = materialize(right.withColumn("spelled", spelled).groupBy("x", "y", "stem", "dirs", "nums", "spelled").agg(F.min("ord").alias("to_ord")))
     keyed = left.where("stem <> ''").withColumn("spelled", spelled).select("id", "stem", "dirs", "nums", "spelled", F.coalesce("a", F.lit("")).alias("ka"), F.coalesce("b", F.lit("")).alias("kb"))
     placed = keyed.join(same.select(F.coalesce("a", F.lit("")).alias("ka"), F.coalesce("b", F.lit("")).alias("kb"), "x", F.coalesce("y", F.lit("")).alias("y"), "place_a", "place_b"), ["ka", "kb"]).drop("ka", "kb")
-    pairs = spark.sql(
+    placed = materialize(placed.withColumn("row", F.monotonically_increasing_id()))
+    shared = spark.sql(
         f"""
         WITH piece AS ({reference_segments("{unit}", "stem", MAX_EDITS)}), probe AS ({probing_segments("{placed}", "stem", MAX_EDITS)})
-        SELECT DISTINCT l.id, r.to_ord,
+        SELECT DISTINCT l.row, r.to_ord
+        FROM (SELECT row, xxhash64(x, y, _n, _i, _seg) AS at FROM probe) l JOIN (SELECT to_ord, xxhash64(x, coalesce(y, ''), _n, _i, _seg) AS at FROM piece) r ON l.at = r.at
+        """,
+        placed=placed,
+        unit=unit,
+    )
+    pairs = spark.sql(
+        f"""
+        SELECT l.id, r.to_ord,
           CAST(CASE WHEN l.stem = r.stem THEN 0 WHEN levenshtein(l.stem, r.stem, {MAX_EDITS}) < 0 THEN 3 ELSE levenshtein(l.stem, r.stem, {MAX_EDITS}) END AS INT) AS name,
           CASE WHEN size(l.dirs) = 0 AND size(r.dirs) = 0 OR arrays_overlap(l.dirs, r.dirs) THEN 0 ELSE 1 END AS direction,
           CASE WHEN l.nums = r.nums THEN 0 ELSE 1 END AS number,
           CAST(l.place_a AS INT) AS place_a, CAST(l.place_b AS INT) AS place_b, levenshtein(l.spelled, r.spelled) AS spelling
-        FROM probe l JOIN piece r ON l.x = r.x AND l.y = coalesce(r.y, '') AND l._n = r._n AND l._i = r._i AND l._seg = r._seg
+        FROM {{shared}} s JOIN {{placed}} l ON s.row = l.row JOIN {{unit}} r ON s.to_ord = r.to_ord
+        WHERE l.x = r.x AND l.y = coalesce(r.y, '')
         """,
-        placed=materialize(placed),
+        shared=shared,
+        placed=placed,
         unit=unit,
     )
     pairs = materialize(pairs)
