@@ -15,7 +15,7 @@ from kinweave.sources.files import export_crosswalk
 
 __all__ = ["build_evolution_key", "export_crosswalk", "output_schema", "preview_plan", "validate_inputs"]
 
-_RUN = ("adjudicator", "hints", "output_dir", "review_score_threshold", "write_csv", "write_parquet", "replay_dir", "loader_metadata")
+_RUN = ("adjudicator", "hints", "output_dir", "review_score_threshold", "write_csv", "write_parquet", "replay_dir", "cache_dir", "loader_metadata")
 
 
 def build_evolution_key(df_from: DataFrame, df_to: DataFrame, **options: Any) -> tuple[DataFrame, dict[str, Any]]:

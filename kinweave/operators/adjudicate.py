@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.order import with_position
-from kinweave.plans.spec import Spec
+from kinweave.plans.spec import PROMPT_VERSION, Spec
 
 LINK = "struct<to_key:string,link_type:string,relationship:string,score:double,evidence:string,reason:string>"
 DECISION = f"from_key string, match_stage string, status string, links array<{LINK}>, error string, batch string, logged_at string"
@@ -146,3 +146,23 @@ def python_decisions(items: DataFrame, adjudicator: Adjudicator, spec: Spec) ->
         return pd.DataFrame(records, columns=["from_key", "match_stage", "status", "links", "error", "batch", "logged_at"])
 
     return items.groupBy("batch").applyInPandas(run, DECISION)
+
+
+def answer_key(spec: Spec) -> Column:
+    """What an item's answer depends on: model, settings, prompt version and the item with its candidates."""
+    settings = "|".join(map(str, (spec.model, spec.temperature, spec.seed, spec.enable_search, PROMPT_VERSION, spec.country, spec.year_from, spec.year_to, spec.relationship, spec.evidence, spec.reason)))
+    return F.sha2(F.concat_ws("\x00", F.lit(settings), "item", F.array_join("candidates", "\x01")), 256)
+
+
+def known_answers(items: DataFrame, cache: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """Decisions of items that the cache (key, links, logged_at) answers, its latest answer each; and the other items."""
+    keyed = items.withColumn("key", answer_key(spec))
+    last = cache.groupBy("key").agg(F.max_by("links", "logged_at").alias("links"))
+    hits = keyed.join(last, "key").select("from_key", F.lit("ai").alias("match_stage"), F.lit("ok").alias("status"), "links", F.lit(None).cast("string").alias("error"), F.lit("cache").alias("batch"), F.lit(_now()).alias("logged_at"))
+    return hits, keyed.join(last, "key", "left_anti").drop("key")
+
+
+def new_answers(items: DataFrame, decisions: DataFrame, spec: Spec) -> DataFrame:
+    """Rows (key, links, logged_at) for the cache from decisions that were just made."""
+    made = decisions.where("status = 'ok' AND match_stage = 'ai' AND batch <> 'cache'").select("from_key", "links", "logged_at")
+    return items.withColumn("key", answer_key(spec)).join(made, "from_key").select("key", "links", "logged_at")

@@ -20,7 +20,7 @@ from kinweave.operators.shortlist import shortlist
 from kinweave.plans.identity import replay_identity, run_folder
 from kinweave.plans.identity import run_id as make_run_id
 from kinweave.plans.spec import OUTPUT_VERSION, PROMPT_VERSION, Spec
-from kinweave.plans.store import DecisionLog, ReplayStore
+from kinweave.plans.store import AnswerCache, DecisionLog, ReplayStore
 from kinweave.plans.validate import validate
 from kinweave.session import materialize
 from kinweave.sources.files import write_document, write_table
@@ -96,6 +96,7 @@ def run(
     write_csv: bool = True,
     write_parquet: bool = True,
     replay_dir: str | Path | None = None,
+    cache_dir: str | Path | None = None,
     loader_metadata: dict[str, Any] | None = None,
 ) -> Run:
     """Build the crosswalk of two tables.
@@ -103,7 +104,8 @@ def run(
     Without an adjudicator the built-in rules decide. hints(primary_key, lineage_hint) are what research found on
     unmatched units; without them no unit has a hint and the rescue leaves rows as they are. Decisions are written to a
     log keyed by the run's content before they are used, so that a later run with the same content takes them over and
-    asks only for rows that failed.
+    asks only for rows that failed. With a cache folder an adjudicator's answers are also kept by the content of what was
+    asked, for runs of any request.
     """
     started = datetime.now(UTC).isoformat()
     report = validate(df_from, df_to, options)
@@ -127,7 +129,7 @@ def run(
             crosswalk, manifest = found
             stage, replayed = manifest["stage_counts"], manifest["run_id"]
     if crosswalk is None:
-        crosswalk, stage = _live(df_from, df_to, spec, adjudicator, hints, folder, run_key, warnings)
+        crosswalk, stage = _live(df_from, df_to, spec, adjudicator, hints, folder, run_key, warnings, AnswerCache(spark, cache_dir) if cache_dir else None)
         if store and not stage["error_from_rows"] and not stage["second_stage_failed_rows"]:
             try:
                 store.publish(identity["replay_key"], crosswalk, {"run_id": run_key, "identity": identity, "stage_counts": stage})
@@ -150,7 +152,7 @@ def run(
     return Run(flagged, queue, metadata, warnings)
 
 
-def _live(df_from: DataFrame, df_to: DataFrame, spec: Spec, adjudicator, hints, folder: Path, run_key: str, warnings: list[str]) -> tuple[DataFrame, dict[str, int]]:
+def _live(df_from: DataFrame, df_to: DataFrame, spec: Spec, adjudicator, hints, folder: Path, run_key: str, warnings: list[str], cache: AnswerCache | None = None) -> tuple[DataFrame, dict[str, int]]:
     spark = df_from.sparkSession
     all_ = frames(df_from, df_to, spec)
     candidates = materialize(shortlist(all_.open_from, all_.open_to, spec))
@@ -161,8 +163,15 @@ def _live(df_from: DataFrame, df_to: DataFrame, spec: Spec, adjudicator, hints,
     if adjudicator is None:
         new = new.unionByName(A.rule_decisions(pending, candidates, spec))
     else:
-        new = new.unionByName(A.python_decisions(A.batch_items(pending, candidates, all_.frame_to, spec), adjudicator, spec))
+        items = materialize(A.batch_items(pending, candidates, all_.frame_to, spec))
+        asked = items
+        if cache:
+            hits, asked = A.known_answers(items, cache.read(), spec)
+            new = new.unionByName(hits)
+        new = new.unionByName(A.python_decisions(asked, adjudicator, spec))
     decisions = decided.append(new)
+    if adjudicator is not None and cache:
+        cache.append(A.new_answers(items, decisions, spec))
     failed = C.still_failed(decisions).count()
     if failed:
         warnings.append(f"{failed} from-rows failed adjudication and are marked unknown.")

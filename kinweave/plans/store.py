@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinweave.operators.adjudicate import LINK
 from kinweave.operators.crosswalk import latest_per_key
 from kinweave.sources.files import read_document, write_document
 
@@ -56,3 +57,18 @@ class ReplayStore:
     def publish(self, key: str, crosswalk: DataFrame, manifest: dict[str, Any]) -> None:
         crosswalk.write.mode("overwrite").parquet(str(self.folder / key / "crosswalk.parquet"))
         write_document(self.folder / key / "replay_manifest.json", manifest)
+
+
+class AnswerCache:
+    """Answers of adjudicators by the content of what was asked; appended, the latest counts."""
+
+    def __init__(self, spark: SparkSession, folder: str | Path) -> None:
+        self.spark, self.path = spark, Path(folder) / "answers.parquet"
+
+    def read(self) -> DataFrame:
+        if not self.path.exists():
+            return self.spark.createDataFrame([], f"key string, links array<{LINK}>, logged_at string")
+        return self.spark.read.parquet(str(self.path))
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(str(self.path))

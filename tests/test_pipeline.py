@@ -207,3 +207,45 @@ def test_loader_hook(spark, tmp_path):
     assert load_frames(spark, config)[0].first()["subdistrict"] == "A"
     with pytest.raises(ValueError):
         load_by_hook(spark, "own_loader:wrong", {}, tmp_path)
+
+
+def test_answers_are_kept_by_content(spark, tmp_path):
+    run = {"adjudicator": TopTwo(), "cache_dir": tmp_path / "cache"}
+    first = go(spark, tmp_path / "a", run=run)
+
+    class Never(Exhausted):
+        pass
+
+    again = go(spark, tmp_path / "b", run=run | {"adjudicator": Never()})  # another run, the same questions
+    assert merges(again) == merges(first) and again.metadata["run_id"] != first.metadata["run_id"]
+    with pytest.raises(Exception, match="quota"):
+        go(spark, tmp_path / "c", run=run | {"adjudicator": Never()}, relationship="child_to_child")
+
+
+def test_service_replies():
+    from kinweave.operators.service import MARKER, ServiceAdjudicator, classify, decisions_of, read_reply
+    from kinweave.plans.spec import Spec
+
+    spec = Spec("X", 1, 2, "n")
+    link = {"to_key": " None", "link_type": "Exact Match", "relationship": "Father-to-father", "score": 1}
+    good = json.dumps({"decisions": [{"from_key": "from_0", "links": [link]}]})
+    for text in (good, f"Sure:\n```json\n{good}\n```", f"It is {good} indeed"):
+        assert decisions_of(read_reply(text), spec) == [{"from_key": "from_0", "links": [{"to_key": None, "link_type": "rename", "relationship": "father_to_father", "score": 1.0}]}]
+    for bad in ({**link, "extra": 1}, {**link, "score": 2}, {**link, "link_type": "other"}):
+        with pytest.raises(ValueError):
+            decisions_of([{"from_key": "f", "links": [bad]}], spec)
+    with pytest.raises(ValueError):
+        read_reply("nothing")
+    asked = []
+
+    def ask(prompt):
+        asked.append(prompt)
+        if len(asked) == 1:
+            raise OSError("connection reset")
+        return "no JSON" if len(asked) == 2 else good
+
+    assert ServiceAdjudicator(ask, base=0, jitter=0, spacing=0).decide([{"from_key": "from_0", "candidates": []}], spec)[0]["links"][0]["link_type"] == "rename"
+    assert len(asked) == 3 and json.loads(asked[0].split(MARKER)[1])["items"][0]["from_key"] == "from_0"
+    coded = lambda text, code: type("E", (Exception,), {"code": code})(text)
+    kinds = [("x", 402), ("quota", 429), ("too many requests, quota", 429), ("x", 503), ("timed out", None), ("quota", 403), ("bad key", 403), ("billing account", None)]
+    assert [type(classify(coded(*k))).__name__ for k in kinds] == ["QuotaError", "QuotaError", "TransientError", "TransientError", "TransientError", "QuotaError", "FatalError", "QuotaError"]
