@@ -15,7 +15,7 @@ from kinweave.functions.names import canonical
 from kinweave.operators.crosswalk import base_columns, final_relationship, first_per_key, merge_indicator
 from kinweave.operators.order import with_position
 from kinweave.operators.prepare import scope_columns
-from kinweave.operators.shortlist import similar_pairs
+from kinweave.operators.shortlist import first_places, similar_pairs
 from kinweave.plans.spec import MATCHED_TYPES, Spec
 
 DECISIONS = "primary_key string, status string, event_type string, lineage_hint string, notes string, selected array<string>, link_type string, relationship string, score double, evidence string, reason string, error string"
@@ -61,9 +61,8 @@ def global_shortlist(items: DataFrame, secondary: DataFrame, spec: Spec) -> Data
     order = Window.partitionBy("primary_key").orderBy(F.desc("score"), "place")
     top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
     full = top.groupBy("primary_key").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    short = terms.select("primary_key").distinct().join(full, "primary_key", "left_anti").withColumn("_one", F.lit(1))
-    first = ranked.where(F.col("place") < k).select("place", F.lit(1).alias("_one"))
-    zero = short.join(first, "_one").drop("_one").join(top.select("primary_key", "place"), ["primary_key", "place"], "left_anti").withColumns({"score": F.lit(0.0), "matched_term": F.lit("")})
+    short = terms.select("primary_key").distinct().join(full, "primary_key", "left_anti")
+    zero = short.select("primary_key", F.explode(first_places(k, ranked)).alias("place")).join(top.select("primary_key", "place"), ["primary_key", "place"], "left_anti").withColumns({"score": F.lit(0.0), "matched_term": F.lit("")})
     both = top.unionByName(zero).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return both.join(ranked.select("place", F.col("key").alias("secondary_key"), F.col("name").alias("secondary_name"), F.col("canonical").alias("secondary_canonical")), "place").drop("place")
 

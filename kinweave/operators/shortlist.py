@@ -7,7 +7,7 @@ the scope fill up with zero, as a ranking of all pairs would.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.names import combined, cosine, jaccard, tokens, trigrams
@@ -50,6 +50,11 @@ def similar_pairs(left: DataFrame, right: DataFrame, row_left: str, row_right: s
     return sums.select(row_left, row_right, F.round(combined(token_score, ngram_score), 6).alias("score"), F.round(token_score, 6).alias("token_jaccard"), F.round(ngram_score, 6).alias("ngram_cosine"))
 
 
+def first_places(k: int, ranked: DataFrame) -> Column:
+    """The places 0, 1, .. of the first k rows of a frame with dense places, as an array."""
+    return F.array(*map(F.lit, range(min(k, ranked.count())))).cast("array<bigint>")
+
+
 def shortlist(frame_from: DataFrame, frame_to: DataFrame, spec: Spec) -> DataFrame:
     """Columns from_ord, from_key, to_key, to_name, to_canonical, score, token_jaccard, ngram_cosine, rank (from 1).
 
@@ -63,9 +68,11 @@ def shortlist(frame_from: DataFrame, frame_to: DataFrame, spec: Spec) -> DataFra
     top = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     full = top.groupBy("ord").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("ord")
     short = frame_from.select("ord", *scopes).join(full, "ord", "left_anti")
-    in_scope = Window.partitionBy(*scopes).orderBy("place") if scopes else Window.orderBy("place")
-    first = (ranked_to.select("place", *scopes).withColumn("_n", F.row_number().over(in_scope)) if scopes else ranked_to.select("place").withColumn("_n", F.col("place") + 1)).where(F.col("_n") <= k)
-    zero = short.join(first, same_scope(short, first, spec)).select("ord", "place")
+    if scopes:
+        in_scope = ranked_to.select("place", *scopes).withColumn("_n", F.row_number().over(Window.partitionBy(*scopes).orderBy("place"))).where(F.col("_n") <= k)
+        zero = short.join(in_scope, same_scope(short, in_scope, spec)).select("ord", "place")
+    else:  # the first names of all are the first places
+        zero = short.select("ord", F.explode(first_places(k, ranked_to)).alias("place"))
     zero = zero.join(top.select("ord", "place"), ["ord", "place"], "left_anti").select("ord", "place", *[F.lit(0.0).alias(c) for c in ("score", "token_jaccard", "ngram_cosine")])
     both = top.drop("rank").unionByName(zero).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     named = both.join(ranked_to.select("place", F.col("key").alias("to_key"), F.col("name").alias("to_name"), F.col("canonical").alias("to_canonical")), "place")

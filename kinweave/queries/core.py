@@ -123,7 +123,7 @@ def preview_scopes(spark: SparkSession, folder: str) -> DataFrame:
 def preview_summary(spark: SparkSession, folder: str) -> DataFrame:
     _, _, exact, rest, candidates = _open(spark, folder, _spec())
     per_row = rest.join(candidates.groupBy("from_key").agg(F.count("*").alias("n")), F.col("key") == F.col("from_key"), "left").agg(F.count("*").alias("from_rows"), F.round(F.avg(F.coalesce("n", F.lit(0))), 4).alias("avg_candidates"))
-    return per_row.crossJoin(exact.agg(F.count("*").alias("exact_string_matches")))  # one row each
+    return per_row.withColumn("exact_string_matches", F.lit(exact.count()).cast("long"))
 
 
 def rule_based_decisions(spark: SparkSession, folder: str) -> DataFrame:
