@@ -50,9 +50,9 @@ def jaccard(shared: Column, left: Column, right: Column) -> Column:
     return F.when((left == 0) & (right == 0), 1.0).when((left == 0) | (right == 0), 0.0).otherwise(shared / (left + right - shared))
 
 
-def cosine(dot: Column, left: Column, right: Column) -> Column:
-    """Of vector lengths: 1 if both are zero, 0 if one is."""
-    return F.when((left == 0) & (right == 0), 1.0).when((left == 0) | (right == 0), 0.0).otherwise(dot / (left * right))
+def cosine(dot: Column, norms: Column) -> Column:
+    """Of two vectors that share something, or are both empty (norms, the product of their lengths, is 0 then: 1)."""
+    return F.when(norms == 0, 1.0).otherwise(dot / norms)
 
 
 def combined(token_score: Column, ngram_score: Column) -> Column:

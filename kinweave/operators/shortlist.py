@@ -42,11 +42,13 @@ def similar_pairs(left: DataFrame, right: DataFrame, row_left: str, row_right: s
     for s in scopes:
         condition = condition & F.col(s).eqNullSafe(F.col(f"r_{s}"))
     is_word = F.col("feature").startswith("\x01")
+    # what is the same for all rows of a pair travels as two maxima: the product of norms, both word counts in one long
     sums = a.join(b, condition).groupBy(row_left, row_right).agg(
-        F.sum(F.when(is_word, 0).otherwise(F.col("n") * F.col("r_n"))).alias("dot"), F.sum(is_word.cast("int")).alias("shared"), F.max("norm").alias("norm"), F.max("r_norm").alias("r_norm"), F.max("words").alias("words"), F.max("r_words").alias("r_words")
+        F.sum(F.when(is_word, 0).otherwise(F.col("n") * F.col("r_n"))).alias("dot"), F.sum(is_word.cast("int")).alias("shared"), F.max(F.col("norm") * F.col("r_norm")).alias("norms"), F.max(F.shiftleft(F.col("words").cast("long"), 32) + F.col("r_words")).alias("words")
     )
-    token_score = jaccard(F.col("shared"), F.col("words"), F.col("r_words"))
-    ngram_score = cosine(F.col("dot"), F.col("norm"), F.col("r_norm"))
+    words, r_words = F.shiftright("words", 32), F.col("words").bitwiseAND(F.lit((1 << 32) - 1))
+    token_score = jaccard(F.col("shared"), words, r_words)
+    ngram_score = cosine(F.col("dot"), F.col("norms"))
     return sums.select(row_left, row_right, F.round(combined(token_score, ngram_score), 6).alias("score"), F.round(token_score, 6).alias("token_jaccard"), F.round(ngram_score, 6).alias("ngram_cosine"))
 
 
