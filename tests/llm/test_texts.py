@@ -147,3 +147,17 @@ def test_aligned_copies():
     base = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80))
     assert truncation.goes_on(base, base + " and more") and truncation.goes_on(base[:-1], base + " more words")
     assert not truncation.goes_on(base, base + ". Next sentence") and not truncation.goes_on(base, base + " (updated)") and not truncation.goes_on(base, "something else entirely " * 9)
+
+
+def near(spark, texts):
+    rows = [(f"{i:03}", t, truncation.ending(t)) for i, t in enumerate(texts)]
+    return {int(r["text_key"]) for r in truncation.near_copies_that_go_on(spark.createDataFrame(rows, "text_key string, text string, kind string").repartition(3)).collect()}
+
+
+def test_every_copy_in_a_band_is_held_against(spark):
+    word = lambda i: f"word{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    base = " ".join(map(word, range(90)))
+    longer = [f"{base}. {' '.join(word(j) + word(i) for j in range(26))}." for i in range(60)]
+    original = base + " and more of it."
+    many = [f"{word(i)}s of {word(i + 40)} {' '.join(map(word, range(200, 270)))} there" for i in range(20)]
+    assert near(spark, [base, base[:-2], original, *longer, *many, *(f"{t} it went on like that" for t in many), "short one", many[0] + ". And so on"]) == {0, 1, *range(63, 83)}
