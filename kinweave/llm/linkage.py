@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.duplicates import letters_and_digits
-from kinweave.llm.names import folded, parsed, probing_segments, reference_segments
+from kinweave.llm.names import ANY_SCRIPT, folded, parsed, probing_segments, reference_segments
 from kinweave.session import materialize
 
 #: Edits within which names and places can be the same.
@@ -145,15 +145,16 @@ def link(lost: DataFrame, units: DataFrame) -> tuple[DataFrame, Model]:
 
     A row has one match or none: the most probable, then the nearest spelling, then the smallest to_ord; copies of a
     unit count once. A null or empty name, or no place at all, has no match; a single missing place is a level of its
-    own. A direction or a number in the name that differs is another unit. Equal rows are compared once; empty tables
+    own. A direction or a number in the name that differs is another unit. Names may be in any script; outside Latin,
+    where few characters make a name, one edit is allowed for three of them. Equal rows are compared once; empty tables
     give no rows; other columns don't matter. Pairs are made only of names that share a positional segment in places
     that can be the same. The driver gets one count per combination of levels, at most 144.
     """
     spark = lost.sparkSession
     rows = lost.select(F.col("ord").alias("lost_ord"), "name", "state", "district")
     distinct = materialize(rows.where(F.col("name").rlike(r"(?U)\S")).groupBy("name", "state", "district").agg(F.min("lost_ord").alias("id")))
-    left = _places(spark, materialize(spark.sql(parsed("{t}", "name"), t=distinct)))
-    right = _places(spark, materialize(spark.sql(parsed("{t}", "name"), t=units.where("name IS NOT NULL").select("ord", "name", "state", "district"))))
+    left = _places(spark, materialize(spark.sql(parsed("{t}", "name", ANY_SCRIPT), t=distinct)))
+    right = _places(spark, materialize(spark.sql(parsed("{t}", "name", ANY_SCRIPT), t=units.where("name IS NOT NULL").select("ord", "name", "state", "district"))))
     right = right.withColumns({"x": F.least("a", "b"), "y": F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest("a", "b"))}).where("stem <> ''")
     similar = _similar_places(spark, left, right)
     same = _same_places(spark, left, right, similar)
@@ -174,7 +175,8 @@ def link(lost: DataFrame, units: DataFrame) -> tuple[DataFrame, Model]:
     pairs = spark.sql(
         f"""
         SELECT l.id, r.to_ord,
-          CAST(CASE WHEN l.stem = r.stem THEN 0 WHEN levenshtein(l.stem, r.stem, {MAX_EDITS}) < 0 THEN 3 ELSE levenshtein(l.stem, r.stem, {MAX_EDITS}) END AS INT) AS name,
+          CAST(CASE WHEN l.stem = r.stem THEN 0 WHEN levenshtein(l.stem, r.stem, {MAX_EDITS}) < 0 THEN 3
+            WHEN l.stem RLIKE '[^a-z]' AND levenshtein(l.stem, r.stem, {MAX_EDITS}) * 3 > length(r.stem) THEN 3 ELSE levenshtein(l.stem, r.stem, {MAX_EDITS}) END AS INT) AS name,
           CASE WHEN size(l.dirs) = 0 AND size(r.dirs) = 0 OR arrays_overlap(l.dirs, r.dirs) THEN 0 ELSE 1 END AS direction,
           CASE WHEN l.nums = r.nums THEN 0 ELSE 1 END AS number,
           CAST(l.place_a AS INT) AS place_a, CAST(l.place_b AS INT) AS place_b, levenshtein(l.spelled, r.spelled) AS spelling

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from kinweave.llm.visual import folding
 
 # The words that tell units of one stem apart, and how they are abbreviated.
@@ -16,6 +19,8 @@ ABBREVIATIONS = {
 KIND = r"\\b(sub[- ]?district|sub[- ]?dist|s/d|district|dist)\\b"
 # Digits typed or read in a letter's place.
 DIGITS, LETTERS = "014569", "olasbg"
+# Character classes of the words of Latin names, and of names in any script.
+LATIN, ANY_SCRIPT = "a-z0-9", r"\\p{{L}}\\p{{M}}\\p{{N}}"
 
 
 def _text(s: str) -> str:
@@ -35,13 +40,20 @@ def _direction_of(word: str) -> str:
     return f"CASE {word} {known} ELSE CASE WHEN {word} IS NULL THEN array() ELSE {near} END END"
 
 
-def parsed(source: str, column: str) -> str:
+def _digits(column: str) -> str:
+    """The column with decimal digits of all scripts as 0 to 9."""
+    other = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+    return f"translate({column}, {_text(''.join(other))}, '{''.join(str(unicodedata.decimal(c)) for c in other)}')"
+
+
+def parsed(source: str, column: str, letters: str = LATIN) -> str:
     """SELECT all columns of source and stem, dirs, nums of a name.
 
     dirs holds the directions its first or last word can mean (none, mostly one); nums the numbers in it. A null name
-    has the stem of an empty one.
+    has the stem of an empty one. Characters outside `letters` part words.
     """
-    words = f"filter(split(regexp_replace({folded(column)}, '{KIND}', ' '), '[^a-z0-9]+'), x -> x <> '')"
+    plain = folded(column) if letters == LATIN else _digits(folded(column))
+    words = f"filter(split(regexp_replace({plain}, '{KIND}', ' '), '[^{letters}]+'), x -> x <> '')"
     number = "x RLIKE '^[0-9]+$' AND x <> '2'"
     return f"""
       SELECT * EXCEPT (_w, _n, _last, _first), array_join(transform(

@@ -161,3 +161,12 @@ def test_every_copy_in_a_band_is_held_against(spark):
     original = base + " and more of it."
     many = [f"{word(i)}s of {word(i + 40)} {' '.join(map(word, range(200, 270)))} there" for i in range(20)]
     assert near(spark, [base, base[:-2], original, *longer, *many, *(f"{t} it went on like that" for t in many), "short one", many[0] + ". And so on"]) == {0, 1, *range(63, 83)}
+
+
+def test_names_in_other_scripts_are_linked(spark):
+    names = ["Донецкий", "Нижний", "თბილისი", "กรุงเทพ", "रामपुर", "रामपूर", "東京", "大阪", "さくらむら", "Łódźże Дон", "वार्ड 12", "Disvulsan", "—"]
+    units = spark.createDataFrame([(i, n, "Karvana", "Chiltèrral", "") for i, n in enumerate(names)] + [(90, "Нижний", "Dunvarra", "Thurgosrü", "")] + [(100 + i, f"Filler{c}{d}ana", "Karvana", "Chiltèrral", "") for i, (c, d) in enumerate(zip("bdfgklbd", "mnprstpr"))], PLACE)
+    lost = [*((n, None if n == "—" else i) for i, n in enumerate(names)), ("Донецкйи", 0), ("京都", None), ("वार्ड १२", 10), ("वार्ड १३", None), ("Ещёодин", None)]
+    left = spark.createDataFrame([(i, n, "Karvana", "Chilterral", "") for i, (n, _) in enumerate(lost)], PLACE)
+    got = {r["ord"]: r["to_ord"] for r in linkage.link(left, units)[0].collect()}
+    assert [got.get(i) for i in range(len(lost))] == [t for _, t in lost]
