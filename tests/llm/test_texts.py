@@ -170,3 +170,15 @@ def test_names_in_other_scripts_are_linked(spark):
     left = spark.createDataFrame([(i, n, "Karvana", "Chilterral", "") for i, (n, _) in enumerate(lost)], PLACE)
     got = {r["ord"]: r["to_ord"] for r in linkage.link(left, units)[0].collect()}
     assert [got.get(i) for i in range(len(lost))] == [t for _, t in lost]
+
+
+def test_templates_cut_at_one_length_are_no_formula(spark):
+    rng = random.Random(3)
+    some = ["it boils water quickly", "we moment by moment enjoy the kettle", "the lid closes well", "a sturdy handle is what it has", "my aunt uses it daily"]
+    whole = [". ".join(rng.choice(some) for _ in range(6)) + f". {i}." for i in range(60)]
+    names = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12)]
+    inside = [f"Ordered by {n} for a kitchen, and this parcel brought mom" for n in names[:6]]
+    between = [f"Given to {n} for a kitchen, where steam rises off the" for n in names[6:]]
+    formula = [f"{'.  '.join(rng.choice(some) for _ in range(2 + i))}. Happy customers praise the kettle" for i in range(5)]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate([*inside, *between, *formula, *whole])], "doc_id long, text string, title string")
+    assert {r["doc_id"] for r in truncation.find_cut(docs, "doc_id", "text", "title").where("cut").collect()} == set(range(12))
