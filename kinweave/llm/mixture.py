@@ -53,8 +53,11 @@ def _pairing(seed: int):
 
 
 def settle(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """Settle all but at most one fraction, keeping the sum of fraction times tokens."""
-    rows = rows.sort_values(["mix", "doc_id", "part"], kind="stable")
+    """Settle all but at most one fraction, keeping the sum of fraction times tokens.
+
+    Long documents are paired first, so that the fraction left over is a short one's and moves the shares little.
+    """
+    rows = rows.sort_values(["tokens", "mix", "doc_id", "part"], ascending=[False, True, True, True], kind="stable")
     p, size = rows["fraction"].to_numpy(float).copy(), np.maximum(rows["tokens"].to_numpy(float), _EPS)
     draw = np.random.RandomState((int(rows["mix"].iloc[0]) ^ seed) & 0x7FFFFFFF).random_sample(len(p))
     held = -1
