@@ -1,8 +1,9 @@
 """One form for text that looks the same: widths, accents, spaces, invisible characters and look-alike letters.
 
-A transducer is compiled once from rules and a table of look-alikes: a trie over code points that rewrites the longest
-match, grapheme by grapheme, in one pass. Compiling checks that no source has two targets and that no target would be
-rewritten again, so that the form is stable.
+A transducer is compiled once from rules and a table of look-alikes. It reads a text grapheme cluster by grapheme
+cluster: marks are put in their canonical order, the longest source that begins with a cluster is rewritten, and
+within a cluster the longest sources of its code points, so that a letter of any script keeps the marks it has.
+Compiling checks that no source has two targets and that no target would be rewritten again, so that the form is stable.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -33,52 +35,69 @@ LOOK_ALIKES = {
 # Hyphens and apostrophes that look like the ASCII one.
 PUNCTUATION = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹣": "-", "－": "-", "’": "'", "‘": "'", "ʼ": "'", "＇": "'"}
 
+# Letters with a stroke, as letter and overlaid mark.
+STROKES = {"o\u0338": "ø", "O\u0338": "Ø", "d\u0335": "đ", "D\u0335": "Đ", "h\u0335": "ħ", "t\u0335": "ŧ", "T\u0335": "Ŧ", "b\u0335": "ƀ", "l\u0337": "ł", "L\u0337": "Ł"}
+
 # Ranges of characters without any appearance.
 INVISIBLE = ((0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xE0100, 0xE01EF))
 
-_KINDS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>")
+_KINDS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>", "<circle>")
 _END = ""
+_CLUSTER = regex.compile(r"\X")
+#: Grapheme clusters whose form a transducer remembers.
+REMEMBERED = 1 << 16
+
+
+def _spelled(text: str) -> str:
+    return unicodedata.normalize("NFD", text)
 
 
 class Transducer:
-    """Rewrites the longest source at each place; characters in `skip` vanish wherever they are, within a source too."""
+    """Rewrites the longest source at each grapheme cluster; characters in `skip` vanish wherever they are, within a source too."""
 
     def __init__(self, rules: dict[str, str], skip: frozenset[str]) -> None:
+        self.skip, self.inner, self.outer = {ord(c): None for c in skip}, {}, {}
+        self.form = lru_cache(REMEMBERED)(self._form)
         for source, target in rules.items():
             if not source or any(c in skip for c in source):
                 raise ValueError(f"a source must have characters that stay: {source!r}")
             if source == target:
                 raise ValueError(f"{source!r} is its own target")
-        self.skip, self.trie = skip, {}
+            clusters = [_spelled(x) for x in _CLUSTER.findall(source)]
+            node = self.outer if len(clusters) > 1 else self.inner
+            for part in clusters if len(clusters) > 1 else clusters[0]:
+                node = node.setdefault(part, {})
+            if node.setdefault(_END, target) != target:
+                raise ValueError(f"{source!r} has two targets: {node[_END]!r} and {target!r}")
         for source, target in rules.items():
-            node = self.trie
-            for c in source:
-                node = node.setdefault(c, {})
-            node[_END] = target
-        for source, target in rules.items():
-            if self(target) != target:
+            if self(target) != unicodedata.normalize("NFC", target):
                 raise ValueError(f"the target of {source!r} would be rewritten again: {target!r}")
 
+    def _form(self, cluster: str) -> str:
+        """The form of one cluster, whose marks are in canonical order."""
+        out, i, n = [], 0, len(cluster)
+        while i < n:
+            node, j, target, end = self.inner, i, cluster[i], i + 1
+            while j < n and (node := node.get(cluster[j])) is not None:
+                j += 1
+                if _END in node:
+                    target, end = node[_END], j
+            out.append(target)
+            i = end
+        return unicodedata.normalize("NFC", "".join(out))
+
     def __call__(self, text: str) -> str:
         if text.isascii():
             return text
-        out, i, n, skip, trie = [], 0, len(text), self.skip, self.trie
+        clusters = [c if c.isascii() else _spelled(c) for c in _CLUSTER.findall(text.translate(self.skip))]
+        out, i, n = [], 0, len(clusters)
         while i < n:
-            if text[i] in skip:
-                i += 1
-                continue
-            node, j, target, end = trie, i, None, i + 1
-            while j < n:
-                c = text[j]
+            node, j, target, end = self.outer, i, None, i + 1
+            while j < n and (node := node.get(clusters[j])) is not None:
                 j += 1
-                if c in skip:
-                    continue
-                node = node.get(c)
-                if node is None:
-                    break
                 if _END in node:
                     target, end = node[_END], j
-            out.append(text[i] if target is None else target)
+            out.append(self.form(clusters[i]) if target is None else target)
             i = end
         return "".join(out)
 
@@ -95,9 +114,9 @@ def merged(*tables: dict[str, str]) -> dict[str, str]:
 
 @lru_cache(1)
 def _rules() -> tuple[dict[str, str], frozenset[str]]:
+    """Rules for single characters, and letters with a stroke; marks need none, they stay with their letter's form."""
     skip = frozenset(chr(c) for lo, hi in INVISIBLE for c in range(lo, hi + 1))
     single = merged(LOOK_ALIKES, PUNCTUATION)
-    marks: dict[str, str] = {}
     look = {}
     for c in map(chr, range(0x80, sys.maxunicode + 1)):
         if c in skip or c in single or 0xD800 <= ord(c) <= 0xDFFF:
@@ -107,23 +126,9 @@ def _rules() -> tuple[dict[str, str], frozenset[str]]:
         elif unicodedata.decomposition(c).startswith(_KINDS):
             target = unicodedata.normalize("NFKC", c)
             if target[0] != " " and not skip.intersection(target):
-                look[c] = "".join(single.get(x, x) for x in target)
-    bases = merged(single, {s: t for s, t in look.items() if len(s) == 1 and len(t) == 1 and t.isalpha()})
-    by_letter: dict[str, list[str]] = {}
-    for s, t in bases.items():
-        by_letter.setdefault(t, []).append(s)
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
-        parts = unicodedata.normalize("NFD", c)
-        if len(parts) < 2 or not parts[0].isascii() or unicodedata.normalize("NFC", parts) != c:
-            continue
-        for base in (parts[0], *by_letter.get(parts[0], ())):
-            marks[base + parts[1:]] = c
-            whole = unicodedata.normalize("NFC", base + parts[1:])
-            if len(whole) == 1 and whole != c:
-                marks[whole] = c
-        if len(parts) == 3:  # one mark may be part of the letter already
-            marks[unicodedata.normalize("NFC", parts[:2]) + parts[2]] = c
-    return merged({s: t for s, t in single.items() if s not in marks}, {s: t for s, t in look.items() if s not in marks}, marks), skip
+                look[c] = unicodedata.normalize("NFC", "".join(single.get(x, x) for x in _spelled(target)))
+    strokes = {base + s[1:]: t for s, t in STROKES.items() for base in (s[0], *(x for x, y in single.items() if y == s[0]))}
+    return merged(single, look, strokes), skip
 
 
 @lru_cache(1)
@@ -166,14 +171,11 @@ def same_look(values: DataFrame, text: str, entries: DataFrame, entry: str, entr
 def folding() -> tuple[str, str]:
     """Arguments of translate() that fold to plain small letters: one-letter rules, accents dropped, invisibles deleted."""
     rules, skip = _rules()
-    pairs, gone = {}, {c: None for c in sorted(skip)}
-    table = {s: t for s, t in rules.items() if len(s) == 1 and len(t) == 1}
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
-        table.setdefault(c, c)
-    for s, t in table.items():
-        base = unicodedata.normalize("NFD", t)[0].lower()
-        if s != base and len(s.encode("utf-16-le")) == 2:
-            pairs[s] = base
-    gone |= {chr(c): None for c in range(0x300, 0x370)}
-    gone = [c for c in gone if c not in pairs and len(c.encode("utf-16-le")) == 2]
+    pairs = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        parts = "" if c in skip or 0xD800 <= ord(c) <= 0xDFFF else _spelled(rules.get(c, c))
+        base = _spelled(rules.get(parts[:1], parts[:1]))[:1]
+        if base and all(0x300 <= ord(m) < 0x370 for m in parts[1:]) and len(base.encode("utf-16-le")) == 2 and base.lower() != c and (c in rules or parts != c):
+            pairs[c] = base.lower()
+    gone = [c for c in (*sorted(skip), *map(chr, range(0x300, 0x370))) if c not in pairs and len(c.encode("utf-16-le")) == 2]
     return "".join(pairs) + "".join(gone), "".join(pairs.values())

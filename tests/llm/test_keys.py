@@ -97,6 +97,11 @@ def test_one_form(text, form):
     assert visual.one_form(text) == form and visual.one_form(form) == form
 
 
+@pytest.mark.parametrize(("a", "b"), [("e\u0302\u0323", "\u1ec7"), ("\u0439", "\u0438\u0306"), ("\u1100\u1161\u11a8", "\uac01"), ("\u0958", "\u0915\u093c"), ("\u24b6", "A"), ("o\u0338", "ø"), ("\uff76\uff9e", "ガ"), ("\u043e\u0323\u0302", "ộ"), ("e\u200b\u0301", "é")])
+def test_clusters_that_look_the_same(a, b):
+    assert visual.one_form(f"x{a}y") == visual.one_form(f"x{b}y") and visual.one_form(a * 3000) == visual.one_form(b) * 3000
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.characters(max_codepoint=0xFFFF, exclude_categories=("Cs",)), max_size=30))
 def test_one_form_is_stable_and_keeps_ascii(text):
