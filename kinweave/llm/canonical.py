@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from kinweave.llm.names import parsed, probing_segments, reference_segments
+from kinweave.llm.names import closing_words, parsed, probing_segments, reference_segments
 from kinweave.session import materialize
 
 #: Edits (insert, delete, replace a letter) that the stem of a typed name may be away from its entry's.
@@ -36,16 +36,18 @@ REPORT_SQL = """
 def map_to_entries(typed: DataFrame, entries: DataFrame, *, k: int = MAX_EDITS) -> DataFrame:
     """Columns ord, canon_id: each row of typed(ord, typed_name) with the entry of entries(canon_id, unit_name) meant.
 
-    0 reports that no entry is within k edits of stem, at most one for three of its letters, with the same direction;
-    so do null, empty and non-Latin names.
+    0 reports that no entry is within k edits of stem, at most one for three of its letters, with the same closing word
+    and numbers; so do null and empty names. Names may be in any script; closing words are those of the list itself.
     Among entries equally near the one whose spelling, accents included, is nearest counts, then the smaller id.
     Repeated names are compared once; an empty list leaves all names unmatched; other columns don't matter. Work grows
     with names times the entries that share a segment of equal place and length, never with names times entries.
     """
     sql = typed.sparkSession.sql
     typed = materialize(typed.select("ord", "typed_name"))
-    name = materialize(sql(parsed("(SELECT DISTINCT typed_name FROM {typed} WHERE typed_name IS NOT NULL)", "typed_name"), typed=typed))
-    entry = materialize(sql(parsed("{entries}", "unit_name"), entries=entries.select("canon_id", "unit_name")))
+    entries = entries.select("canon_id", "unit_name")
+    closing = closing_words(entries, "unit_name")
+    name = materialize(sql(parsed("(SELECT DISTINCT typed_name FROM {typed} WHERE typed_name IS NOT NULL)", "typed_name", closing), typed=typed))
+    entry = materialize(sql(parsed("{entries}", "unit_name", closing, shortened=False), entries=entries))
     best = materialize(sql(matching_sql(k), name=name, entry=entry))
     return sql(REPORT_SQL, typed=typed, best=best)
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kinweave.llm import canonical, components, duplicates, topn, visual
-from kinweave.llm.names import parsed
+from kinweave.llm.names import closing_words, parsed
 
 
 def groups(pairs):
@@ -85,10 +85,30 @@ def test_pigeonhole_join_misses_nothing(spark):
 
 def test_parsed_names(spark):
     rows = spark.createDataFrame([("Upper Thulp-isvir",), ("W. Rolsoskel 12",), ("North",), (None,)], "n string")
-    got = spark.sql(parsed("{t}", "n"), t=rows).collect()
+    got = spark.sql(parsed("{t}", "n", ["east", "upper", "west"]), t=rows).collect()
     assert [(r["stem"], r["dirs"], r["nums"]) for r in got] == [("thulpisvir", ["upper"], []), ("rolsoskel", ["west"], ["12"]), ("north", [], []), ("", [], [])]
 
 
+def test_closing_words_come_from_the_list(spark):
+    stems = ["".join(p) for p in zip("bcdfghklmnprstvz" * 20, "aeiou" * 64, "mnprstbdfgkl" * 27, "oeaui" * 64, "lrnstkmdpb" * 32)]
+    rows = [(f"{x.title()} {w}",) for x in sorted(set(stems))[:60] for w in ("Haut", "Bas", "II")] + [("Нижний Дон",), ("Верхний Дон",), (None,), ("",), ("Solo",), ("Two Words",)]
+    table = spark.createDataFrame(rows, "n string")
+    closing = closing_words(table, "n")
+    assert closing == ["bas", "haut", "дoн"]  # look-alikes are folded
+    typed = spark.createDataFrame([("BAS Xenon",), ("Xenon Ht.",), ("Xenon hauut",), ("Xenon 2nd",), ("Xenon bx",), ("Верхний Дон",)], "n string")
+    got = spark.sql(parsed("{t}", "n", closing), t=typed).collect()
+    assert [(r["stem"], r["dirs"], r["nums"]) for r in got[:5]] == [("xenon", ["bas"], []), ("xenon", ["haut"], []), ("xenon", ["haut"], []), ("xenon", [], ["2"]), ("xenonbx", [], [])]
+    assert closing_words(table.limit(0), "n") == [] and spark.sql(parsed("{t}", "n", []), t=typed).count() == 6
+
+
+def test_typed_names_of_other_scripts(spark):
+    listed = spark.createDataFrame([(1, "रामपुर"), (2, "Нижний"), (3, "東京"), (4, "Rampur")], "canon_id long, unit_name string")
+    names = ["रामपुर", "нижнйи", "東京", "京都", "रामपूर", "RAMPUR", "Верхний"]
+    typed = spark.createDataFrame(list(enumerate(names)), "ord long, typed_name string")
+    got = {r["ord"]: r["canon_id"] for r in canonical.map_to_entries(typed, listed).collect()}
+    assert [got[i] for i in range(7)] == [1, 2, 3, 0, 1, 4, 0]
+
+
 @pytest.mark.parametrize(("text", "form"), [
     ("Ｎｕｒｔ－Ｈｕｎｚａ", "Nurt-Hunza"), ("Dothušshur Circle", "Dothušshur Circle"), ("Вerantho Εast", "Berantho East"), ("Pifol᠎ker", "Pifolker"), ("Chorsanver Ⅱ", "Chorsanver II"), ("Zark‑Usmer", "Zark-Usmer"),
     ("n​̃", "ñ"), ("е́", "é"), ("тehsil", "тehsil"), ("　a \t b️", "a b"), ("", ""), ("рекhаm", "peкham"), ("कलमोरा", "कलमोरा"), ("ﬁ", "fi"),

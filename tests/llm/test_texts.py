@@ -18,6 +18,7 @@ def test_linkage(spark):
     units = [("Disvulsan", "Lower Vessin", "Kosmolpi-Sadar"), ("Disvulsan", "Karvana", "Chiltèrral"), ("Bosmelfur Block", "Dunvarra", "Thurgosrü"), ("Bosmelfur", "Dunvarra", "Thurgosrü"), ("DISVULSAN.", "Kosmolpi sadar", "lower  vessin"), ("Nermunzol Upper", "North Ostmere", "Zasheszel & Environs")]
     units += [("Thanchellun Lower", "Zamora Plains", "Shenlerzal & Environs"), ("Ward No. 12", "Karvana", "Chiltèrral"), (None, "Karvana", "Chiltèrral"), ("Alone", None, None), ("Zusmelfor", None, "Chiltèrral")]
     units += [(f"Filler{c}{d}ana {w}", "Karvana", "Chiltèrral") for c in "bdfgkl" for d in "mnprst" for w in ("East", "West")]
+    units += [("Zusmelfor Lower", "Dunvarra", "Thurgosrü"), ("Zusmelfor Upper", "Dunvarra", "Thurgosrü")]  # closing words are learned from the list
     cases = [
         (("Dsivulsan", "Kosmolpi-Sadar", "Lower bessin"), 0), (("disvulsan", "Karvana prov.", "Chilterral"), 1), (("Bosmeflur", "DUNVARRA", "THURGOSRÜ"), 3), (("Bosmeflur Blk", "Dunvarra (old)", "Thurgosru"), 2), (("Nremunzol Upper", None, "Zasheszel   & Environs"), 5),
         (("Thanchelun Low.", "Z. Plains", "Shenlerzal - Environs"), 6), (("Ward No. 13", "Karvana", "Chiltèrral"), None), (("ward 12", "Karvana", "Chiltèrral"), 7), (("Disvulsan", "Belgrath", "Diñsalne"), None), (("Zusmelfr", "Karvana", "Chiltèrral"), 10),
