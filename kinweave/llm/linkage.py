@@ -20,8 +20,11 @@ from kinweave.session import materialize
 MAX_EDITS = 2
 #: Posterior from which a pair is a match.
 LEAST_CONFIDENCE = 0.5
-#: Levels of each compared field. name: equal, 1 edit, 2 edits, further; direction, number: same, other; place: equal, close, missing.
+#: Levels of each compared field. name: equal, 1 edit, 2 edits, another (further, or of another closing word or number);
+#: direction, number: same, other; place: equal, close, missing.
 LEVELS = {"name": 4, "direction": 2, "number": 2, "place_a": 3, "place_b": 3}
+#: Levels that mean that a field isn't known.
+MISSING = {"place_a": 2, "place_b": 2}
 
 # Words added to the name of a place that don't belong to it.
 ADDED = r"\\b(prov|province|dist|district|state|old|new name|erstwhile)\\b"
@@ -37,28 +40,31 @@ class Model:
     iterations: int
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 100, prior: float = 1.0) -> Model:
+def fit(patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 100, prior: float = 20.0) -> Model:
     """EM over pattern counts (at most one per combination of levels), fields independent within either class.
 
-    It starts from agreement being likely among matches only; `prior` pseudo-pairs of the start keep levels that never
-    occur from reaching zero. No patterns give the start itself.
+    A missing place says nothing for or against a match, so it has no part in the estimates. EM starts from agreement
+    being likely among matches only; `prior` pseudo-pairs of the start keep levels that never occur from reaching zero.
+    No patterns give the start itself.
     """
     sizes = list(LEVELS.values())
     start_m = [np.array([0.9] + [0.1 / (n - 1)] * (n - 1)) for n in sizes]
     start_u = [np.array([0.3] + [0.7 / (n - 1)] * (n - 1)) for n in sizes]
     start_m[0] = np.array([0.6, 0.25, 0.149, 0.001])
     start_u[0] = np.array([0.01, 0.02, 0.05, 0.92])
+    start_m[3:] = start_u[3:] = [np.array([0.7, 0.2, 0.1])] * 2  # all pairs come from places that are alike
     m, u, share, i = start_m, start_u, 0.5, 0
     if patterns:
         levels, counts = np.array([p for p, _ in patterns]), np.array([n for _, n in patterns], dtype=float)
+        known = np.array([levels[:, f] != MISSING.get(field, -1) for f, field in enumerate(LEVELS)])
+        likely = lambda x: np.prod([np.where(known[f], x[f][levels[:, f]], 1.0) for f in range(len(sizes))], axis=0)
+        told = lambda w, f, start: (np.bincount(levels[:, f], w * known[f], sizes[f]) + prior * start[f]) / ((w * known[f]).sum() + prior)
         for i in range(1, rounds + 1):
-            lm = share * np.prod([m[f][levels[:, f]] for f in range(len(sizes))], axis=0)
-            lu = (1 - share) * np.prod([u[f][levels[:, f]] for f in range(len(sizes))], axis=0)
+            lm, lu = share * likely(m), (1 - share) * likely(u)
             post = lm / (lm + lu)
             wm, wu = counts * post, counts * (1 - post)
             new_share = (wm.sum() + prior) / (counts.sum() + 2 * prior)
-            m = [(np.bincount(levels[:, f], wm, sizes[f]) + prior * start_m[f]) / (wm.sum() + prior) for f in range(len(sizes))]
-            u = [(np.bincount(levels[:, f], wu, sizes[f]) + prior * start_u[f]) / (wu.sum() + prior) for f in range(len(sizes))]
+            m, u = [told(wm, f, start_m) for f in range(len(sizes))], [told(wu, f, start_u) for f in range(len(sizes))]
             if abs(new_share - share) < 1e-7:
                 break
             share = new_share
@@ -66,15 +72,13 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 100, prior
     return Model(float(share), name(m), name(u), i)
 
 
-def posterior(model: Model) -> F.Column:
-    """Probability of a match by the levels; a name further away never weighs more than a nearer one."""
+def match_odds(model: Model) -> F.Column:
+    """Logarithm of the odds of a match by the levels; a missing place doesn't count."""
     odds = F.lit(np.log(model.share / (1 - model.share)))
     for field in LEVELS:
-        weights = [float(np.log(a / b)) for a, b in zip(model.m[field], model.u[field])]
-        if field == "name":
-            weights = np.minimum.accumulate(weights).tolist()
+        weights = [0.0 if level == MISSING.get(field) else float(np.log(a / b)) for level, (a, b) in enumerate(zip(model.m[field], model.u[field]))]
         odds = odds + F.element_at(F.array(*map(F.lit, weights)), F.col(field) + 1)
-    return 1 / (1 + F.exp(-odds))
+    return odds
 
 
 def _places(spark, table: DataFrame) -> DataFrame:
@@ -145,8 +149,10 @@ def link(lost: DataFrame, units: DataFrame) -> tuple[DataFrame, Model]:
 
     A row has one match or none: the most probable, then the nearest spelling, then the smallest to_ord; copies of a
     unit count once. A null or empty name, or no place at all, has no match; a single missing place is a level of its
-    own. A direction or a number in the name that differs is another unit. Names may be in any script; outside Latin,
-    where few characters make a name, one edit is allowed for three of them. Equal rows are compared once; empty tables
+    own. The posterior alone decides; a name with another closing word or number is compared as another name. Names may
+    be in any script; outside Latin, where few characters make a name, one edit counts as near for three of them. Equal
+    places in other units are no evidence, since a unit of the same name elsewhere is another place: pairs are made in
+    passes by both places, in either order, and by each of them alone where the other is missing. Equal rows are compared once; empty tables
     give no rows; other columns don't matter. Pairs are made only of names that share a positional segment in places
     that can be the same. The driver gets one count per combination of levels, at most 144.
     """
@@ -176,14 +182,14 @@ def link(lost: DataFrame, units: DataFrame) -> tuple[DataFrame, Model]:
     )
     pairs = spark.sql(
         f"""
-        SELECT l.id, r.to_ord,
-          CAST(CASE WHEN l.stem = r.stem THEN 0 WHEN levenshtein(l.stem, r.stem, {MAX_EDITS}) < 0 THEN 3
-            WHEN l.stem RLIKE '[^a-z]' AND levenshtein(l.stem, r.stem, {MAX_EDITS}) * 3 > length(r.stem) THEN 3 ELSE levenshtein(l.stem, r.stem, {MAX_EDITS}) END AS INT) AS name,
+        SELECT id, to_ord, CAST(CASE WHEN edits < 0 OR direction = 1 OR number = 1 OR other_script AND edits * 3 > stem_length THEN 3 ELSE edits END AS INT) AS name, direction, number, place_a, place_b, spelling
+        FROM (
+        SELECT l.id, r.to_ord, levenshtein(l.stem, r.stem, {MAX_EDITS}) AS edits, l.stem RLIKE '[^a-z]' AS other_script, length(r.stem) AS stem_length,
           CASE WHEN size(l.dirs) = 0 AND size(r.dirs) = 0 OR arrays_overlap(l.dirs, r.dirs) THEN 0 ELSE 1 END AS direction,
           CASE WHEN l.nums = r.nums THEN 0 ELSE 1 END AS number,
           CAST(l.place_a AS INT) AS place_a, CAST(l.place_b AS INT) AS place_b, levenshtein(l.spelled, r.spelled) AS spelling
         FROM {{shared}} s JOIN {{placed}} l ON s.row = l.row JOIN {{unit}} r ON s.to_ord = r.to_ord
-        WHERE l.x = r.x AND l.y = coalesce(r.y, '')
+        WHERE l.x = r.x AND l.y = coalesce(r.y, ''))
         """,
         shared=shared,
         placed=placed,
@@ -192,8 +198,8 @@ def link(lost: DataFrame, units: DataFrame) -> tuple[DataFrame, Model]:
     pairs = materialize(pairs)
     patterns = [(tuple(r[f] for f in LEVELS), r["n"]) for r in pairs.groupBy(*LEVELS).agg(F.count("*").alias("n")).collect()]
     model = fit(patterns)
-    agreed = pairs.where("name < 3 AND direction = 0 AND number = 0").withColumn("confidence", posterior(model)).where(F.col("confidence") >= LEAST_CONFIDENCE)
-    best = agreed.groupBy("id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "spelling", "to_ord")).alias("best")).select("id", "best.to_ord", (-F.col("best.c")).alias("confidence"))
+    agreed = pairs.withColumn("odds", match_odds(model)).where(F.col("odds") >= np.log(LEAST_CONFIDENCE / (1 - LEAST_CONFIDENCE)))
+    best = agreed.groupBy("id").agg(F.min(F.struct((-F.col("odds")).alias("c"), "spelling", "to_ord")).alias("best")).select("id", "best.to_ord", (1 / (1 + F.exp("best.c"))).alias("confidence"))
     matched = distinct.join(best, "id").select(F.col("name").alias("n"), F.col("state").alias("s"), F.col("district").alias("d"), "to_ord", "confidence")
     found = rows.join(matched, F.col("name").eqNullSafe(F.col("n")) & F.col("state").eqNullSafe(F.col("s")) & F.col("district").eqNullSafe(F.col("d")))
     return found.select(F.col("lost_ord").alias("ord"), "to_ord", "confidence"), model
