@@ -72,16 +72,25 @@ def place(rows: DataFrame, key: str, spread: list[str], by: Plan) -> DataFrame:
     """
     shard = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_shards")), F.lit(0)).cast("int")
     placed = rows.join(F.broadcast(by.heavy), key, "left").withColumn("_shard", shard)
+    return _at_its_task(placed, key, by).drop("_shards", "_first")
+
+
+def _at_its_task(rows: DataFrame, key: str, by: Plan) -> DataFrame:
+    """rows(key, _first, _shard, ..) with _task."""
     at = F.when(F.col("_first").isNull(), F.pmod(F.xxhash64(key), F.lit(by.bins))).otherwise(F.col("_first") + F.col("_shard")).cast("int")
-    return placed.withColumn("_at", at).join(F.broadcast(by.places), "_at").drop("_at", "_shards", "_first")
+    return rows.withColumn("_at", at).join(F.broadcast(by.places), "_at").drop("_at")
 
 
 def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], by: Plan) -> DataFrame:
-    """Inner join on key: the left rows of a large key go to its shards, its right rows to each of these shards."""
-    left_side = place(left, key, spread, by).drop("_task")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_shards", F.lit(1)) - 1)).alias("_shard")
-    right_side = right.join(F.broadcast(by.heavy), key, "left").select(*right.columns, copies)
-    return left_side.join(right_side, [key, "_shard"]).drop("_shard")
+    """Inner join on key: the left rows of a large key go to its shards, its right rows to each of these shards.
+
+    Both sides are partitioned by the task that the plan gave each bin and shard, and joined where they are.
+    """
+    left_side = place(left, key, spread, by).repartitionById(by.tasks, F.col("_task"))
+    shards = F.explode(F.sequence(F.lit(0), F.coalesce("_shards", F.lit(1)) - 1)).alias("_shard")
+    copies = right.join(F.broadcast(by.heavy), key, "left").select(*right.columns, "_first", shards)
+    right_side = _at_its_task(copies, key, by).select(*right.columns, "_shard", "_task").repartitionById(by.tasks, F.col("_task"))
+    return left_side.join(right_side, ["_task", key, "_shard"]).drop("_task", "_shard")
 
 
 def _stats_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

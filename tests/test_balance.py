@@ -46,3 +46,14 @@ def test_large_keys_are_split_and_their_side_replicated(spark):
     assert max(per_task.values()) <= 1.5 * 1000 and by.heavy.where("key = 'hot'").first()["_shards"] == 6
     joined = fragment_replicate_join(left, right, "key", ["n"], by)
     assert joined.columns == ["key", "n", "v"] and joined.groupBy("v").count().orderBy("v").collect() == [("a", 6000), ("b", 6000), ("c", 60)]
+
+
+def test_the_join_keeps_the_packing(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(6000)] + [(f"k{i % 50}", i) for i in range(3000)], "key string, n long")
+    right = spark.createDataFrame([(k, k) for k in ["hot", *(f"k{i}" for i in range(50))]], "key string, v string")
+    by = plan(left.groupBy("key").agg(F.count("*").alias("load")), "key", "load", tasks=9)
+    joined = fragment_replicate_join(left.hint("merge"), right, "key", ["n"], by)
+    plan_text = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan_text.count("shufflepartitionidpassthrough") == 2 and "hashpartitioning" not in plan_text
+    loads = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(loads) == 9 and sum(loads) == 9000 and max(loads) <= 1.2 * max(by.task_load)
