@@ -6,18 +6,19 @@ bytes, again and again, until each fits. Every bucket is counted in a trie whose
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from kinweave.operators.balance import fragment_replicate_join, plan
 from kinweave.session import materialize
 
 #: Records that one bucket may hold.
-BUCKET_LIMIT = 200_000
+BUCKET_LIMIT = 50_000
 
 
 def letters_and_digits(text: F.Column) -> F.Column:
@@ -109,55 +110,38 @@ def _count_locally(limit: int):
     return run
 
 
-def radix_bounds(records: DataFrame, limit: int) -> list[bytes]:
-    """Lower ends of buckets, in byte order, each with at most `limit` rows of records unless all of them are one key.
+@F.pandas_udf(IntegerType())
+def _split_depth(lo: pd.Series, hi: pd.Series) -> pd.Series:
+    """Bytes up to the first one in which the smallest and the largest key of a bucket differ."""
+    return pd.Series([_common(bytes(a), bytes(b)) + 1 for a, b in zip(lo, hi)], dtype="int32")
 
-    A bucket that is too large is split at the first byte in which its smallest and largest key differ. The driver
-    holds the split buckets only, at most 256 times the number of buckets that were too large.
-    """
-    # (prefix, rows, shared) where shared bytes are common to all keys below the prefix
-    summary = [F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")]
-    leaves: list[tuple[bytes, int]] = []
-    row = records.agg(*summary).first()
-    large = [(b"", row["n"], row["lo"], row["hi"])] if row["n"] else []
-    live = records.select("k", F.lit(b"").alias("p"))
-    while large:
-        split = []
-        for prefix, n, lo, hi in large:
-            lo, hi = bytes(lo), bytes(hi)
-            if n <= limit or lo == hi:
-                leaves.append((lo if prefix else b"", n))
-            else:
-                split.append((bytearray(prefix), _common(lo, hi) + 1))
-        if not split:
-            break
-        deeper = records.sparkSession.createDataFrame(split, "p binary, depth int")
-        live = live.join(F.broadcast(deeper), "p").select("k", F.substring("k", F.lit(1), F.col("depth")).alias("p"))
-        large = [(bytes(r["p"]), r["n"], r["lo"], r["hi"]) for r in live.groupBy("p").agg(*summary).collect()]
-    bounds, held = [], limit
-    for lo, n in sorted(leaves):
-        if held + n > limit:
-            bounds.append(lo)
-            held = 0
-        held += n
-    return bounds[1:]
-
-
-def _bucketed(bounds: list[bytes]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(bucket=[bisect_right(bounds, k) for k in batch["k"]])
 
-    return run
+def radix_buckets(records: DataFrame, limit: int) -> list[DataFrame]:
+    """records(k, ..) with their bucket, a prefix of k, in tables of one level each; a bucket has at most `limit` rows
+    unless all of them are one key.
+
+    On every level the buckets that are too large are split at the first byte that tells their keys apart; only their
+    rows go on. Sizes are counted before rows move and stay in the cluster: the driver learns whether there is a next
+    level. Buckets of one prefix length differ from those of another, since a prefix is settled once.
+    """
+    live, settled = records.withColumn("bucket", F.lit(b"")), []
+    while True:
+        sizes = live.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+        large = materialize(sizes.where((F.col("n") > limit) & (F.col("lo") != F.col("hi"))).select("bucket", _split_depth("lo", "hi").alias("depth")))
+        if large.isEmpty():
+            return [*settled, live]
+        settled.append(live.join(large, "bucket", "left_anti").select(live.columns))
+        deeper = live.join(large, "bucket").withColumn("bucket", F.substring("k", F.lit(1), F.col("depth")))
+        live = materialize(deeper.select(live.columns))
 
 
 def _count_in_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tries: dict[int, Trie] = {}
+    tries: dict[tuple[int, bytes], Trie] = {}
     for batch in batches:
-        for k, n, keep, bucket in zip(batch["k"], batch["n"], batch["keep"], batch["bucket"]):
-            trie = tries.get(bucket)
+        for k, n, keep, level, bucket in zip(batch["k"], batch["n"], batch["keep"], batch["level"], batch["bucket"]):
+            trie = tries.get((level, bucket))
             if trie is None:
-                trie = tries[bucket] = Trie()
+                trie = tries[level, bucket] = Trie()
             trie.add(k, n, keep)
     for trie in tries.values():
         yield _frame(list(trie.terminals()))
@@ -167,12 +151,14 @@ def count_records(rows: DataFrame, *, limit: int = BUCKET_LIMIT) -> DataFrame:
     """Columns k, n, keep: each distinct key (binary) of rows(k, ord) with its number of rows and its smallest ord.
 
     A key of any length, the empty one included, is a record; no rows give no records. However many rows a record
-    has, at most one per partition of the input is moved.
+    has, at most one per partition of the input is moved. Buckets of a level are spread over as many tasks as they need.
     """
     schema = "k binary, n long, keep long"
     local = materialize(rows.select("k", "ord").mapInPandas(_count_locally(limit), schema))
-    bounds = radix_bounds(local, limit)
-    return local.mapInPandas(_bucketed(bounds), schema + ", bucket int").repartitionById(len(bounds) + 1, F.col("bucket")).mapInPandas(_count_in_tries, schema)
+    tasks = max(1, -(-local.count() * 2 // limit))
+    levels = [level.withColumn("level", F.lit(i)) for i, level in enumerate(radix_buckets(local, limit))]
+    placed = reduce(DataFrame.unionByName, levels).repartition(tasks, "level", "bucket")
+    return placed.mapInPandas(_count_in_tries, schema)
 
 
 def find_copies(table: DataFrame, ord_: str, ordered: list[str], exchangeable: list[str], *, limit: int = BUCKET_LIMIT) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from kinweave.llm import canonical, components, duplicates, topn, visual
 from kinweave.llm.names import closing_words, parsed
@@ -184,10 +185,10 @@ def test_copies_of_nothing_and_bounds(spark):
     empty = spark.createDataFrame([], FIELDS)
     assert duplicates.find_copies(empty, "ord", ["subdistrict"], ["state", "district"]).collect() == []
     records = spark.createDataFrame([(bytearray(f"same{i:04d}".encode()),) for i in range(500)] + [(bytearray(b"hot"),)] * 90, "k binary")
-    bounds = duplicates.radix_bounds(records, 40)
-    keys = sorted([f"same{i:04d}".encode() for i in range(500)] + [b"hot"] * 90)
-    sizes = [sum(lo <= k and (hi is None or k < hi) for k in keys) for lo, hi in zip([b"", *bounds], [*bounds, None])]
-    assert bounds == sorted(bounds) and sum(sizes) == 590 and sorted(sizes)[-2] <= 40 and max(sizes) <= 90
+    levels = [level.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("k").alias("keys"), F.min("k").alias("lo"), F.max("k").alias("hi")).collect() for level in duplicates.radix_buckets(records, 40)]
+    assert sum(r["n"] for level in levels for r in level) == 590 and all(r["n"] <= 40 or r["keys"] == 1 for level in levels for r in level) and len(levels) == 4
+    assert all(bytes(r["lo"]).startswith(bytes(r["bucket"])) and bytes(r["hi"]).startswith(bytes(r["bucket"])) for level in levels for r in level)
+    assert [level.count() for level in duplicates.radix_buckets(records.limit(0), 40)] == [0]
 
 
 @settings(max_examples=100, deadline=None)
