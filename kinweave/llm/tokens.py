@@ -14,9 +14,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import IntegerType
 
 from kinweave.session import materialize
 
@@ -27,6 +29,8 @@ CHUNK_BITS, CHUNK_LEAST = 7, 48
 #: Bytes that a cut may be moved to a safe place.
 REACH = 32
 WINDOW = 16
+#: Bytes of texts that are hashed together.
+PART_BYTES = 1 << 22
 
 # How byte_bpe_50k splits text into words before it merges bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -69,28 +73,44 @@ def safe_places(data: np.ndarray) -> np.ndarray:
     return places
 
 
-def chunks(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Byte ranges of a text's chunks, and of the stretches to be encoded again because a joint within isn't safe."""
-    data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+def chunk_edges(texts: list[bytes]) -> list[tuple[list[int], list[tuple[int, int]]]]:
+    """For each text the byte offsets between its chunks, with both ends, and the stretches to be encoded again because
+    a joint within isn't safe. Texts are hashed together, with a gap that keeps them apart.
+    """
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + WINDOW)[:-1]]).astype(np.int64)
+    data = np.frombuffer((b"\0" * WINDOW).join(texts), dtype=np.uint8)
     n = len(data)
-    if n <= CHUNK_LEAST:
-        return [(0, n)], []
     gear, h = _gear()[data], np.zeros(n, dtype=np.uint64)
-    for j in range(WINDOW):
+    gaps = ((starts + sizes)[:-1, None] + np.arange(WINDOW)).ravel()
+    gear[gaps] = 0
+    for j in range(min(WINDOW, n)):
         h[j:] += gear[: n - j] << np.uint64(j)
-    cuts = np.flatnonzero(((h >> np.uint64(20)) & np.uint64((1 << CHUNK_BITS) - 1)) == 0) + 1
-    safe = safe_places(data)
+    cuts = np.flatnonzero(((h >> np.uint64(20)) & np.uint64((1 << CHUNK_BITS) - 1)) == 0)
+    owner = np.searchsorted(starts, cuts, side="right") - 1
+    inside = cuts - starts[owner] < sizes[owner]
+    cuts, owner, safe = cuts[inside] + 1, owner[inside], safe_places(data)
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+    near = np.searchsorted(safe, cuts)
+    safe = np.append(safe, np.iinfo(np.int64).max)
+    moved, cuts = safe[near].tolist(), cuts.tolist()
+    return [_edges_of(t, start, cuts[lo:hi], moved[lo:hi], safe) for t, start, lo, hi in zip(texts, starts.tolist(), bounds, bounds[1:])]
+
+
+def _edges_of(text: bytes, start: int, cuts: list[int], moved: list[int], safe: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+    n = len(text)
     edges, joints, last = [0], [], 0
-    for cut in cuts.tolist():
-        if cut - last < CHUNK_LEAST:
+    for cut, place in zip(cuts, moved):
+        if cut - start - last < CHUNK_LEAST:
             continue
-        at = np.searchsorted(safe, cut)
-        if at < len(safe) and safe[at] - cut <= REACH:
-            cut = int(safe[at])
+        if place - cut <= REACH:
+            cut = place - start
         else:
-            while cut < n and data[cut] & 0xC0 == 0x80:
+            cut -= start
+            while cut < n and text[cut] & 0xC0 == 0x80:
                 cut += 1
-            joints.append(cut)
+            if cut < n:
+                joints.append(cut)
         if cut >= n:
             break
         edges.append(cut)
@@ -98,14 +118,18 @@ def chunks(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     edges.append(n)
     again: list[tuple[int, int]] = []
     for joint in joints:
-        if joint >= n:
-            continue
-        at = np.searchsorted(safe, joint)
-        lo, hi = int(safe[at - 1]) if at else 0, int(safe[at]) if at < len(safe) else n
+        at = int(np.searchsorted(safe, joint + start))
+        lo, hi = max(0, int(safe[at - 1]) - start) if at else 0, min(n, int(safe[at]) - start)
         if again and again[-1][1] >= lo:
             again[-1] = (again[-1][0], max(hi, again[-1][1]))
         else:
             again.append((lo, hi))
+    return edges, again
+
+
+def chunks(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Byte ranges of a text's chunks, and of the stretches to be encoded again."""
+    edges, again = chunk_edges([text.encode("utf-8")])[0]
     return list(zip(edges, edges[1:])), again
 
 
@@ -123,22 +147,72 @@ def repaired(pieces: list[tuple[int, int, int, np.ndarray]], lengths: np.ndarray
     return all_ids[np.argsort(all_starts, kind="stable")].tolist()
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for key, text in zip(batch["text_key"], batch["text"]):
-            data = text.encode("utf-8")
-            own, again = chunks(text)
-            rows += [(key, 0, lo, hi, data[lo:hi].decode("utf-8")) for lo, hi in own]
-            rows += [(key, 1, lo, hi, data[lo:hi].decode("utf-8")) for lo, hi in again]
-        yield pd.DataFrame(rows, columns=["text_key", "kind", "start", "end", "piece"])
+def _in_parts(sizes: list[int], most: int = PART_BYTES) -> Iterator[slice]:
+    """Runs of texts of at most `most` bytes together; a longer one comes alone."""
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
-def _encoded(folder: str):
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def run(texts: pd.Series) -> pd.Series:
-        enc = encoder(folder)
-        return texts.map(enc.encode_ordinary)
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds edges, again and hashes: offsets between chunks, ends of the stretches to encode again, 16 bytes per chunk."""
+    for batch in batches:
+        texts = [(t or "").encode("utf-8") for t in batch.column("text").to_pylist()]
+        edges, again, hashes = [], [], []
+        for part in _in_parts([len(t) for t in texts]):
+            for text, (own, more) in zip(texts[part], chunk_edges(texts[part])):
+                edges.append(own if text else [])
+                again.append([x for pair in more for x in pair])
+                hashes.append([xxhash.xxh3_128_digest(text[lo:hi]) for lo, hi in zip(own, own[1:])] if text else [])
+        added = (("edges", pa.array(edges, pa.list_(pa.int32()))), ("again", pa.array(again, pa.list_(pa.int32()))), ("hashes", pa.array(hashes, pa.list_(pa.binary()))))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(a for _, a in added)], [*batch.schema.names, *(name for name, _ in added)])
+
+
+def _encode(folder: str):
+    """Encodes texts where they lie: whole if no other text has one of its chunks, else by chunks, but those that
+    another text encodes. Rows (doc_id, rid, ids, parts, led): ids of a text that needs no other, else its parts.
+    """
+
+    def text_parts(enc, lengths, text: bytes, row: dict, known: dict[bytes, list[int]]):
+        encode = lambda lo, hi: enc.encode_ordinary(text[lo:hi].decode("utf-8"))
+        leads = {x["hash"]: x["lead"] for x in row["shared"]}
+        parts, led = [], []
+        for lo, hi, key in zip(row["edges"], row["edges"][1:], row["hashes"]):
+            if leads.get(key) is False:
+                parts.append((0, lo, hi, key, None))
+                continue
+            if key not in known:
+                known[key] = encode(lo, hi)
+                if key in leads:
+                    led.append({"hash": key, "ids": known[key]})
+            parts.append((0, lo, hi, key, known[key]))
+        parts += [(1, lo, hi, None, encode(lo, hi)) for lo, hi in zip(row["again"][::2], row["again"][1::2])]
+        if all(p[4] is not None for p in parts):
+            return repaired([(p[0], p[1], p[2], p[4]) for p in parts], lengths), None, led
+        return None, [dict(zip(("kind", "start", "end", "hash", "ids"), p)) for p in parts], led
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, lengths = encoder(folder), token_lengths(folder)
+        ids_type = pa.list_(pa.int32())
+        part_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.binary()), ("ids", ids_type)]))
+        led_type = pa.list_(pa.struct([("hash", pa.binary()), ("ids", ids_type)]))
+        for batch in batches:
+            out = []
+            texts, shared = batch.column("text").to_pylist(), batch.column("shared").to_pylist()
+            cut = batch.select(["edges", "again", "hashes"])
+            for i, (text, of) in enumerate(zip(texts, shared)):
+                if not text or not of:
+                    out.append((enc.encode_ordinary(text) if text else [], None, None))
+                else:
+                    row = {name: cut.column(name)[i].as_py() for name in cut.schema.names} | {"shared": of}
+                    out.append(text_parts(enc, lengths, text.encode("utf-8"), row, {}))
+            columns = [pa.array([o[j] for o in out], t) for j, t in enumerate((ids_type, part_type, led_type))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), *columns], ["doc_id", "rid", "ids", "parts", "led"])
 
     return run
 
@@ -148,7 +222,7 @@ def _repair(folder: str):
         lengths = token_lengths(folder)
         for batch in batches:
             ids = [repaired([(p["kind"], p["start"], p["end"], p["ids"]) for p in pieces], lengths) for pieces in batch["pieces"]]
-            yield pd.DataFrame({"text_key": batch["text_key"], "ids": ids})
+            yield pd.DataFrame({"rid": batch["rid"], "ids": ids})
 
     return run
 
@@ -157,19 +231,23 @@ def encode_corpus(documents: DataFrame, doc_id: str, text: str, *, folder: str =
     """Columns doc_id, ids: the ids by byte_bpe_50k of every row's text, without special tokens.
 
     Strings of special tokens are ordinary text; null and empty texts have an empty list; rows may repeat, ids may be
-    null, equal texts are cut and equal chunks encoded once. A text of any length is cut whole. Texts are known by their
-    MD5. No rows give no rows.
+    null. A text of any length is cut whole. Of a chunk only its hash of 128 bits moves to find the texts that share
+    it; it is encoded in the first of them, and only its ids go to the others. No rows give no rows.
     """
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    texts = rows.where("text IS NOT NULL AND text <> ''").groupBy("text_key").agg(F.first("text").alias("text"))
-    cut = materialize(texts.mapInPandas(_cut, "text_key string, kind int, start int, end int, piece string").withColumn("piece_key", F.md5("piece")))
-    once = cut.groupBy("piece_key").agg(F.first("piece").alias("piece")).select("piece_key", _encoded(folder)("piece").alias("ids"))
-    placed = cut.select("text_key", "kind", "start", "end", "piece_key").join(once, "piece_key")
-    whole = materialize(placed.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "ids"))).alias("pieces"), F.max("kind").alias("again")))
-    exact = whole.where("again = 0").select("text_key", F.flatten("pieces.ids").alias("ids"))
-    mended = whole.where("again = 1").select("text_key", "pieces").mapInPandas(_repair(folder), "text_key string, ids array<int>")
-    known = exact.unionByName(mended)
-    return rows.select("doc_id", "text_key").join(known, "text_key", "left").select(F.col("doc_id").alias(doc_id), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    cut = materialize(rows.mapInArrow(_cut, f"doc_id {kind}, text string, rid long, edges array<int>, again array<int>, hashes array<binary>"))
+    chunk = cut.select("rid", F.explode(F.array_distinct("hashes")).alias("hash"))
+    shared = materialize(chunk.groupBy("hash").agg(F.count("*").alias("n"), F.min("rid").alias("first")).where("n > 1").select("hash", "first"))
+    of_text = chunk.join(shared, "hash").groupBy("rid").agg(F.collect_list(F.struct("hash", (F.col("rid") == F.col("first")).alias("lead"))).alias("shared"))
+    parts = "array<struct<kind:int,start:int,end:int,hash:binary,ids:array<int>>>"
+    encoded = materialize(cut.join(of_text, "rid", "left").mapInArrow(_encode(folder), f"doc_id {kind}, rid long, ids array<int>, parts {parts}, led array<struct<hash:binary,ids:array<int>>>"))
+    led = encoded.where("led IS NOT NULL").select(F.explode("led").alias("l")).select("l.hash", F.col("l.ids").alias("led"))
+    open_ = encoded.where("parts IS NOT NULL").select("rid", F.explode("parts").alias("p")).select("rid", "p.*").join(led, "hash", "left")
+    pieces = open_.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", F.coalesce("ids", "led").alias("ids")))).alias("pieces"))
+    mended = pieces.mapInPandas(_repair(folder), "rid long, ids array<int>")
+    others = encoded.where("parts IS NOT NULL").select("doc_id", "rid").join(mended, "rid").select("doc_id", "ids")
+    return encoded.where("parts IS NULL").select("doc_id", "ids").unionByName(others).select(F.col("doc_id").alias(doc_id), "ids")
 
 
 def count_tokens(folder: str = TOKENIZERS):
