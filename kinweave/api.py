@@ -15,7 +15,7 @@ from kinweave.sources.files import export_crosswalk
 
 __all__ = ["build_evolution_key", "export_crosswalk", "output_schema", "preview_plan", "validate_inputs"]
 
-_RUN = ("adjudicator", "hints", "output_dir", "review_score_threshold", "write_csv", "write_parquet", "replay_dir", "cache_dir", "loader_metadata")
+_RUN = ("adjudicator", "hints", "output_dir", "review_score_threshold", "write_csv", "write_parquet", "replay_dir", "cache_dir", "retry", "callers", "loader_metadata")
 
 
 def build_evolution_key(df_from: DataFrame, df_to: DataFrame, **options: Any) -> tuple[DataFrame, dict[str, Any]]:
@@ -39,7 +39,7 @@ def output_schema(*, evidence: bool = False) -> dict[str, Any]:
     optional = ("to_name", "to_canonical_name", "to_id", "to_key")
     return {
         "schema_version": OUTPUT_VERSION, "crosswalk_columns": columns, "link_type_enum": list(LINK_TYPES), "relationship_enum": list(RELATIONSHIPS), "merge_enum": list(MERGES), "required_output_columns": [c for c in columns if c not in optional],
-        "conditional_columns": {"evidence": "Included only when request.evidence is true.", "reason": "Always present; empty unless request.reason is true."},
+        "conditional_columns": {"evidence": "there if the request asks for evidence", "reason": "always there, with a text if the request asks for reasons"},
         "notes": {"exact_match_columns": "appended after the base columns", "constraints_passed": "a map of names to booleans, JSON text in CSV", "merge": "both, only_in_from, or only_in_to for later units without a match", "lineage_hint": "the name that the second stage searched for"},
     }
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from kinweave import api
-from kinweave.config import load_config, load_frames
+from kinweave.config import load_config, load_env, load_frames
 from kinweave.session import tuned
 
 
@@ -32,6 +33,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "export":
         print(api.export_crosswalk(spark, args.input, args.format, args.output))
         return 0
+    load_env(Path(args.config).parent)
     config = load_config(args.config)
     df_from, df_to, _ = load_frames(spark, config)
     checked = api.validate_inputs(df_from, df_to, **config.options())

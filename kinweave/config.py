@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -11,15 +12,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.plans.spec import Spec
-from kinweave.sources.files import load_by_hook, read_table
+from kinweave.sources.files import load_adjudicator, load_by_hook, read_table, resolve
 
 # Sections, their keys and defaults.
 SECTIONS: dict[str, dict[str, Any]] = {
     "request": {"country": None, "year_from": None, "year_to": None, "map_col_from": None, "map_col_to": None, "exact_match": [], "id_col_from": None, "id_col_to": None, "extra_context_cols": [], "relationship": "auto", "string_exact_match_prune": "none", "evidence": False, "reason": False, "order_from": [], "order_to": []},
     "data": {"mode": "files", "from_path": None, "to_path": None, "callable": None, "params": {}},
-    "llm": {"provider": "mock", "model": "rules", "temperature": 0.75, "seed": 42, "enable_search": True},
+    "llm": {"provider": "mock", "callable": None, "params": {}, "model": "rules", "temperature": 0.75, "seed": 42, "enable_search": True},
     "pipeline": {"batch_size": 5, "max_candidates": 6, "review_score_threshold": 0.6},
     "retry": {"max_attempts": 6, "base_delay_seconds": 1.0, "max_delay_seconds": 20.0, "jitter_seconds": 0.2},
+    "cache": {"enabled": True, "backend": "parquet", "path": "llm_cache"},
     "replay": {"enabled": False, "store_dir": ".kinweave_replay"},
     "output": {"write_csv": True, "write_parquet": True, "output_dir": "outputs"},
 }
@@ -41,9 +43,12 @@ class Config:
 
     def run_options(self) -> dict[str, Any]:
         """Keyword arguments of pipeline.run."""
-        base = lambda p: str(Path(p) if Path(p).is_absolute() or self.folder is None else self.folder / p)
-        replay, output = self["replay"], self["output"]
-        return {"review_score_threshold": self["pipeline"]["review_score_threshold"], "write_csv": output["write_csv"], "write_parquet": output["write_parquet"], "output_dir": base(output["output_dir"]), "replay_dir": base(replay["store_dir"]) if replay["enabled"] else None}
+        replay, output, cache, llm = self["replay"], self["output"], self["cache"], self["llm"]
+        own = load_adjudicator(llm["callable"], llm["params"], self.folder) if llm["provider"] == "python_hook" else None
+        return {
+            "review_score_threshold": self["pipeline"]["review_score_threshold"], "write_csv": output["write_csv"], "write_parquet": output["write_parquet"], "output_dir": resolve(output["output_dir"], self.folder), "replay_dir": resolve(replay["store_dir"], self.folder) if replay["enabled"] else None,
+            "adjudicator": own, "retry": self["retry"], "cache_dir": resolve(cache["path"], self.folder) if cache["enabled"] and own else None,
+        }
 
 
 def parse_config(content: Any, folder: Path | None = None) -> Config:
@@ -66,8 +71,10 @@ def parse_config(content: Any, folder: Path | None = None) -> Config:
         raise ValueError("data.callable is required when mode=python_hook")
     if data["mode"] not in ("files", "python_hook"):
         raise ValueError(f"unknown data.mode {data['mode']!r}")
-    if sections["llm"]["provider"] != "mock":
-        raise ValueError("llm.provider must be mock; pass an adjudicator to pipeline.run for a service")
+    if sections["llm"]["provider"] not in ("mock", "python_hook") or (sections["llm"]["provider"] == "python_hook") != bool(sections["llm"]["callable"]):
+        raise ValueError("llm.provider is mock, or python_hook with llm.callable as module:function that gives an adjudicator")
+    if sections["cache"]["backend"] not in ("parquet", "sqlite"):
+        raise ValueError("cache.backend is parquet; sqlite is taken for it")
     config = Config(sections, folder)
     Spec(**config.options())
     return config
@@ -84,6 +91,17 @@ def load_config(path: str | Path) -> Config:
     return parse_config(content, Path(path).resolve().parent)
 
 
+def load_env(folder: str | Path | None = None) -> Path | None:
+    """Settings of the nearest .env file of a folder and those above it; what the environment has stays as it is."""
+    start = Path(folder or Path.cwd()).resolve()
+    found = next((d / ".env" for d in (start, *start.parents) if (d / ".env").is_file()), None)
+    for line in found.read_text(encoding="utf-8").splitlines() if found else ():
+        key, equals, value = line.strip().removeprefix("export ").partition("=")
+        if equals and key.strip() and not key.startswith("#"):
+            os.environ.setdefault(key.strip(), value.strip().strip("'\""))
+    return found
+
+
 def git_sha(folder: str | Path | None) -> str | None:
     try:
         return subprocess.run(["git", "rev-parse", "HEAD"], cwd=folder, capture_output=True, text=True, check=True, timeout=10).stdout.strip() or None

@@ -6,8 +6,10 @@ unit of the other side. Decisions replace the unmatched rows of both sides in on
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,62 @@ def primary_side(spec: Spec) -> str | None:
     return spec.string_exact_match_prune if spec.string_exact_match_prune != "none" and spec.enable_search else None
 
 
+def described(items: DataFrame, frame: DataFrame, spec: Spec) -> DataFrame:
+    """items with `item`: what an adjudicator sees of a unit, as JSON."""
+    context = lambda kind, names: F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.col(f"{kind}{i}").cast("string"))]) if names else F.create_map().cast("map<string,string>")
+    unit = F.to_json(F.struct(F.col("key").alias("primary_key"), F.col("name").alias("primary_name"), F.col("canonical").alias("primary_canonical_name"), context("x", spec.exact_match).alias("exact_match_context"), context("c", spec.extra_context_cols).alias("extra_context")))
+    return items.join(frame.select(F.col("key").alias("primary_key"), unit.alias("item")), "primary_key", "left")
+
+
+def researched(items: DataFrame, adjudicator, spec: Spec, *, callers: int) -> DataFrame:
+    """(primary_key, event_type, lineage_hint, notes, error): what an adjudicator finds out about each unit; an error ends no run."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for key, item in zip(frame["primary_key"], frame["item"]):
+                try:
+                    found = adjudicator.research(json.loads(item), spec)
+                    rows.append((key, str(found.get("event_type") or "unknown"), str(found.get("lineage_hint") or "").strip(), str(found.get("notes") or ""), None))
+                except Exception as error:
+                    rows.append((key, "unknown", "", "", str(error) or type(error).__name__))
+            yield pd.DataFrame(rows, columns=["primary_key", "event_type", "lineage_hint", "notes", "error"])
+
+    return items.select("primary_key", "item").repartition(callers, "primary_key").mapInPandas(run, "primary_key string, event_type string, lineage_hint string, notes string, error string")
+
+
+def chosen(items: DataFrame, candidates: DataFrame, secondary: DataFrame, adjudicator, spec: Spec, *, callers: int) -> DataFrame:
+    """Decisions of an adjudicator on the shortlists of researched units: of what it selects only keys of the shortlist count, once each.
+
+    A unit whose event is unknown and that has no hint isn't asked about, one without a shortlist has no match, and an
+    error becomes a record that a later run tries again.
+    """
+    context = lambda kind, names: F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.col(f"t.{kind}{i}").cast("string"))]) if names else F.create_map().cast("map<string,string>")
+    payload = F.to_json(F.struct(F.col("c.rank").alias("rank"), F.col("c.secondary_key").alias("secondary_key"), F.col("c.secondary_name").alias("secondary_name"), F.col("c.secondary_canonical").alias("secondary_canonical_name"), F.col("c.score").alias("score"), context("x", spec.exact_match).alias("exact_match_context"), context("c", spec.extra_context_cols).alias("extra_context")))
+    one = F.struct(F.col("c.rank").alias("rank"), F.col("c.secondary_key").alias("key"), payload.alias("json"))
+    lists = candidates.alias("c").join(secondary.alias("t"), F.col("c.secondary_key") == F.col("t.key")).groupBy(F.col("c.primary_key").alias("primary_key")).agg(F.array_sort(F.collect_list(one)).alias("list"))
+    asked = items.join(lists, "primary_key", "left").select("primary_key", "event_type", "lineage_hint", "notes", "error", "item", F.coalesce("list.key", F.array().cast("array<string>")).alias("keys"), F.coalesce("list.json", F.array().cast("array<string>")).alias("payloads"))
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                base = {"primary_key": r.primary_key, "status": "ok", "event_type": r.event_type, "lineage_hint": r.lineage_hint, "notes": r.notes, "selected": [], "link_type": "no_match", "relationship": "unknown", "score": 0.0, "evidence": "", "reason": "", "error": None}
+                if r.error:
+                    base |= {"status": "error", "error": r.error}
+                elif len(r.payloads) and (r.event_type != "unknown" or r.lineage_hint):
+                    try:
+                        found = adjudicator.choose(json.loads(r.item), {"event_type": r.event_type, "lineage_hint": r.lineage_hint, "notes": r.notes}, [json.loads(p) for p in r.payloads], spec)
+                        listed = set(r.keys)
+                        base |= {"selected": [k for k in dict.fromkeys(found.get("selected_secondary_keys") or []) if k in listed], "link_type": str(found.get("link_type") or "unknown"), "relationship": str(found.get("relationship") or "unknown"), "score": float(found.get("score") or 0.0), "evidence": str(found.get("evidence") or ""), "reason": str(found.get("reason") or "")}
+                    except Exception as error:
+                        base |= {"status": "error", "error": str(error) or type(error).__name__}
+                rows.append(base)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DECISIONS.split(", ")])
+
+    return asked.repartition(callers, "primary_key").mapInPandas(run, DECISIONS)
+
+
 def pending(crosswalk: DataFrame, side: str, done: DataFrame | None = None) -> DataFrame:
     """Columns primary_key, primary_name: units with an unmatched row, once each, that aren't done yet.
 

@@ -46,17 +46,22 @@ def materialize(df: DataFrame, *, partition_by: list[str] | None = None) -> Data
     if not _TABLES:
         atexit.register(_drop_from, spark, 0)
     _TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    table = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    table.kept_at = path
+    return table
 
 
 @contextmanager
-def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """Drop at the end what materialize() wrote within; results have to be written or collected before."""
-    before = len(_TABLES)
+def temporary_tables(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Drop at the end what materialize() wrote within, but for the tables that were appended to the list it gives."""
+    before, kept = len(_TABLES), []
     try:
-        yield
+        yield kept
     finally:
+        paths = [p for p in _TABLES[before:] if p in {table.kept_at for table in kept}]
+        _TABLES[before:] = [p for p in _TABLES[before:] if p not in paths]
         _drop_from(spark, before)
+        _TABLES.extend(paths)
 
 
 def _drop_from(spark: SparkSession, first: int) -> None:
