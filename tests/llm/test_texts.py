@@ -146,13 +146,15 @@ def test_cut_texts(spark):
 
 def test_aligned_copies():
     base = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80))
-    assert truncation.goes_on(base, base + " and more") and truncation.goes_on(base[:-1], base + " more words")
-    assert not truncation.goes_on(base, base + ". Next sentence") and not truncation.goes_on(base, base + " (updated)") and not truncation.goes_on(base, "something else entirely " * 9)
+    assert truncation.alignment(base, base + " and more") == 1 == truncation.alignment(base[:-1], base + " more words")
+    assert truncation.alignment(base, base + ". Next sentence") == -1
+    assert truncation.alignment(base, base + " (updated)") == 0 == truncation.alignment(base, "something else entirely " * 9) == truncation.alignment("", base)
 
 
 def near(spark, texts):
-    rows = [(f"{i:03}", t, truncation.ending(t)) for i, t in enumerate(texts)]
-    return {int(r["text_key"]) for r in truncation.near_copies_that_go_on(spark.createDataFrame(rows, "text_key string, text string, kind string").repartition(3)).collect()}
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    read = table.mapInArrow(truncation._read(0.0), f"{truncation._TEXT_COLUMNS}, {truncation._GRAM_COLUMNS}, part int").where("part = 0")
+    return {r["id"]: r["said"] for r in truncation.near_copies(table, read).collect()}
 
 
 def test_every_copy_in_a_band_is_held_against(spark):
@@ -161,7 +163,25 @@ def test_every_copy_in_a_band_is_held_against(spark):
     longer = [f"{base}. {' '.join(word(j) + word(i) for j in range(26))}." for i in range(60)]
     original = base + " and more of it."
     many = [f"{word(i)}s of {word(i + 40)} {' '.join(map(word, range(200, 270)))} there" for i in range(20)]
-    assert near(spark, [base, base[:-2], original, *longer, *many, *(f"{t} it went on like that" for t in many), "short one", many[0] + ". And so on"]) == {0, 1, *range(63, 83)}
+    got = near(spark, [base, base[:-2], original, *longer, *many, *(f"{t} it went on like that" for t in many), "short one", many[0] + ". And so on"])
+    assert {i for i, said in got.items() if said == 1} == {0, 1, *range(63, 83)}
+
+
+@pytest.mark.parametrize("part", [0.5, 0.6, 0.79, 0.95])
+def test_a_text_cut_anywhere_meets_its_original(spark, part):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    whole = [" ".join(word() for _ in range(rng.randrange(60, 140))) for _ in range(60)]
+    cut = [" ".join((w := t.split())[: int(part * len(w))])[:-1] for t in whole]
+    stopped = [f"{' '.join(t.split()[:40])}. And then {word()} {word()}." for t in whole[:5]]
+    got = near(spark, [*whole, *cut, *stopped])
+    assert sum(got.get(60 + i) == 1 for i in range(60)) >= 0.9 * 60 and not any(got.get(i) == 1 for i in range(60))
+
+
+def test_terminality_is_learned(spark):
+    examples = pd.DataFrame({"label": [0] * 50 + [1] * 50, "logit": list(np.linspace(-1, 5, 50)) + list(np.linspace(-9, -2, 50)), "sign": 0.0})
+    constant, slope, _ = truncation.fit_cut(examples)
+    assert slope < 0 and constant + slope * 3 < 0 < constant - slope * 4 and truncation.fit_cut(examples[:0])[1] == -1.0
 
 
 def test_names_in_other_scripts_are_linked(spark):
