@@ -25,7 +25,7 @@ from kinweave.session import materialize
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("KINWEAVE_TOKENIZERS", "/opt/tokenizers")
 #: Bytes a chunk has on average between cuts, and at least.
-CHUNK_BITS, CHUNK_LEAST = 7, 48
+CHUNK_BITS, CHUNK_LEAST = 8, 48
 #: Bytes that a cut may be moved to a safe place.
 REACH = 32
 WINDOW = 16
