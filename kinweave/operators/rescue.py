@@ -17,7 +17,7 @@ from kinweave.functions.names import canonical
 from kinweave.operators.crosswalk import base_columns, final_relationship, first_per_key, merge_indicator
 from kinweave.operators.order import with_position
 from kinweave.operators.prepare import scope_columns
-from kinweave.operators.shortlist import first_places, similar_pairs
+from kinweave.operators.shortlist import first_places, top_pairs
 from kinweave.plans.spec import MATCHED_TYPES, Spec
 
 DECISIONS = "primary_key string, status string, event_type string, lineage_hint string, notes string, selected array<string>, link_type string, relationship string, score double, evidence string, reason string, error string"
@@ -107,13 +107,13 @@ def global_shortlist(items: DataFrame, secondary: DataFrame, spec: Spec) -> Data
 
     The k units of the other side that are most similar to the best of a unit's terms: the first term wins ties, and a
     unit without any similarity has score 0 and no term. items has primary_key, primary_name, lineage_hint. A unit
-    without any term has no shortlist. Pairs come from shared trigrams and words; only where there are fewer than k the
-    first names fill up, so nothing is compared with everything.
+    without any term has no shortlist. The k best of the unit are among the k best of each of its terms; only where
+    there are fewer than k the first names fill up, so nothing is compared with everything.
     """
     k = spec.max_candidates
     terms = with_position(search_terms(items, spec), ["primary_key", "term_no"], "ord")
     ranked = with_position(secondary, ["canonical", "key"], "place")
-    pairs = similar_pairs(terms.select("ord", "canonical"), ranked, "ord", "place", [])
+    pairs = top_pairs(terms.select("ord", "canonical"), ranked, "ord", "place", [], k)
     known = pairs.join(terms.select("ord", "primary_key", "term_no", "term"), "ord").where("score > 0")
     best = known.groupBy("primary_key", "place").agg(F.max(F.struct("score", (-F.col("term_no")).alias("no"), "term")).alias("b")).select("primary_key", "place", F.col("b.score").alias("score"), F.col("b.term").alias("matched_term"))
     order = Window.partitionBy("primary_key").orderBy(F.desc("score"), "place")

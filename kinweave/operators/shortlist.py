@@ -7,6 +7,8 @@ the scope fill up with zero, as a ranking of all pairs would.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from kinweave.operators.exact import same_scope
 from kinweave.operators.order import with_position
 from kinweave.operators.prepare import scope_columns
 from kinweave.plans.spec import Spec
+from kinweave.session import materialize
 
 
 def entries(name: str) -> str:
@@ -52,6 +55,79 @@ def similar_pairs(left: DataFrame, right: DataFrame, row_left: str, row_right: s
     return sums.select(row_left, row_right, F.round(combined(token_score, ngram_score), 6).alias("score"), F.round(token_score, 6).alias("token_jaccard"), F.round(ngram_score, 6).alias("ngram_cosine"))
 
 
+#: Score that a name may reach by its most frequent features alone, for these to be left out at first.
+SKIP = 0.25
+_MARGIN = 2e-6  # scores are rounded to six decimals
+
+
+def _pair_sums(a: DataFrame, b: DataFrame, scopes: list[str], *more: Column) -> DataFrame:
+    """(lid, rid, dot, shared, norms, words, r_words) over the features of a and b, with the given aggregates."""
+    b = b.select("rid", *[F.col(s).alias(f"r_{s}") for s in scopes], F.col("norm").alias("r_norm"), F.col("words").alias("r_words"), F.col("feature").alias("r_feature"), F.col("n").alias("r_n"))
+    condition = F.col("feature") == F.col("r_feature")
+    for s in scopes:
+        condition = condition & F.col(s).eqNullSafe(F.col(f"r_{s}"))
+    is_word = F.col("feature").startswith("\x01")
+    sums = a.join(b, condition).groupBy("lid", "rid").agg(F.sum(F.when(is_word, 0).otherwise(F.col("n") * F.col("r_n"))).alias("dot"), F.sum(is_word.cast("int")).alias("shared"), F.max(F.col("norm") * F.col("r_norm")).alias("norms"), F.max(F.shiftleft(F.col("words").cast("long"), 32) + F.col("r_words")).alias("both"), *more)
+    return sums.withColumns({"words": F.shiftright("both", 32), "r_words": F.col("both").bitwiseAND(F.lit((1 << 32) - 1))}).drop("both")
+
+
+def _scored(sums: DataFrame) -> DataFrame:
+    token_score, ngram_score = jaccard(F.col("shared"), F.col("words"), F.col("r_words")), cosine(F.col("dot"), F.col("norms"))
+    return sums.select("lid", "rid", F.round(combined(token_score, ngram_score), 6).alias("score"), F.round(token_score, 6).alias("token_jaccard"), F.round(ngram_score, 6).alias("ngram_cosine"))
+
+
+def top_pairs(left: DataFrame, right: DataFrame, row_left: str, row_right: str, scopes: list[str], k: int) -> DataFrame:
+    """For each row of left its k most similar rows of right with a similarity above zero: score, token_jaccard, ngram_cosine.
+
+    Ties go to the smaller row_right, which has to grow with canonical. Names are compared once, however many rows have
+    them. The most frequent features of a name, as many as can't reach SKIP together, make no pairs at first; bounds on
+    what they add tell which pairs can be among the k best, and only these are scored in full. A name whose k-th score
+    isn't above SKIP then meets all names that share any feature, so that the result is that of all pairs.
+    """
+    names = materialize(left.select(*scopes, "canonical").distinct().withColumn("lid", F.monotonically_increasing_id()))
+    others = materialize(right.groupBy(*scopes, "canonical").agg(F.min(row_right).alias("first")).withColumn("rid", F.monotonically_increasing_id()))
+    b = materialize(postings(others, "rid", scopes))
+    spread = b.groupBy(*[F.col(s).alias(f"d_{s}") for s in scopes], F.col("feature").alias("d_feature")).agg(F.count("*").alias("df"))
+    a = postings(names, "lid", scopes)
+    condition = a["feature"] == spread["d_feature"]
+    for s in scopes:
+        condition = condition & a[s].eqNullSafe(spread[f"d_{s}"])
+    frequent_first = Window.partitionBy("lid").orderBy(F.desc("df"), "feature")
+    word = F.col("feature").startswith("\x01")
+    a = a.join(spread, condition).withColumns({"sq": F.sum(F.when(word, 0).otherwise(F.col("n") * F.col("n"))).over(frequent_first), "cw": F.sum(word.cast("int")).over(frequent_first)})
+    reach = F.when(F.col("feature") == "\x02", 1.0).otherwise(combined(F.col("cw") / F.col("words"), F.sqrt(F.col("sq").cast("double")) / F.col("norm")))
+    a = a.withColumn("skipped", reach <= SKIP)
+    whole = Window.partitionBy("lid")
+    a = a.withColumns({"skip_cos": F.coalesce(F.max(F.when(F.col("skipped"), F.sqrt(F.col("sq").cast("double")) / F.col("norm"))).over(whole), F.lit(0.0)), "skip_words": F.coalesce(F.max(F.when(F.col("skipped"), F.col("cw"))).over(whole), F.lit(0))})
+    a = materialize(a.select("lid", *scopes, "norm", "words", "feature", "n", "skipped", "skip_cos", "skip_words"))
+
+    part = _pair_sums(a.where("NOT skipped"), b, scopes, F.max("skip_cos").alias("skip_cos"), F.max("skip_words").alias("skip_words"))
+    cos, most_shared = cosine(F.col("dot"), F.col("norms")), F.least(F.col("shared") + F.col("skip_words"), "words", "r_words")
+    part = part.select("lid", "rid", combined(jaccard(F.col("shared"), F.col("words"), F.col("r_words")), cos).alias("low"), combined(jaccard(most_shared, F.col("words"), F.col("r_words")), cos + F.col("skip_cos")).alias("high"))
+    part = part.withColumn("n", F.row_number().over(whole.orderBy(F.desc("low")))).withColumn("kth", F.max(F.when(F.col("n") == k, F.col("low"))).over(whole))
+    part = materialize(part.where((F.col("n") <= k) | (F.col("high") >= F.col("kth") - _MARGIN)).select("lid", "rid", F.coalesce(F.col("kth") > SKIP + _MARGIN, F.lit(False)).alias("done")))
+    done = part.where("done").select("lid", "rid")
+    features = b.select("rid", "norm", "words", "feature", "n")
+    exact = _pair_sums_of(done, a, features)
+    rest = _pair_sums(a.join(done.select("lid").distinct(), "lid", "left_anti"), b, scopes)
+    best = Window.partitionBy("lid").orderBy(F.desc("score"), "first")
+    scored = _scored(exact.unionByName(rest)).join(others.select("rid", "first"), "rid").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    same = lambda x, y: reduce(Column.__and__, [x[s].eqNullSafe(y[s]) for s in scopes], x["canonical"] == y["canonical"])
+    rows_l, rows_r = left.select(row_left, *scopes, "canonical"), right.select(row_right, *scopes, "canonical")
+    rows_l = rows_l.join(names, same(rows_l, names)).select(row_left, "lid")
+    rows_r = rows_r.join(others, same(rows_r, others)).select(row_right, "rid").withColumn("m", F.row_number().over(Window.partitionBy("rid").orderBy(row_right))).where(F.col("m") <= k)
+    of_rows = scored.drop("n").join(rows_r.drop("m"), "rid").withColumn("n", F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("score"), row_right))).where(F.col("n") <= k)
+    return rows_l.join(of_rows, "lid").select(row_left, row_right, "score", "token_jaccard", "ngram_cosine")
+
+
+def _pair_sums_of(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """The sums of given pairs (lid, rid) over all their features."""
+    word = F.col("feature").startswith("\x01")
+    b = b.select("rid", F.col("norm").alias("r_norm"), F.col("words").alias("r_words"), F.col("feature").alias("r_feature"), F.col("n").alias("r_n"))
+    wide = pairs.join(a.select("lid", "norm", "words", "feature", "n"), "lid").join(b, (pairs["rid"] == b["rid"]) & (F.col("feature") == F.col("r_feature"))).select("lid", pairs["rid"], "norm", "words", "feature", "n", "r_norm", "r_words", "r_n")
+    return wide.groupBy("lid", "rid").agg(F.sum(F.when(word, 0).otherwise(F.col("n") * F.col("r_n"))).alias("dot"), F.sum(word.cast("int")).alias("shared"), F.max(F.col("norm") * F.col("r_norm")).alias("norms"), F.max("words").cast("long").alias("words"), F.max("r_words").cast("long").alias("r_words"))
+
+
 def first_places(k: int, ranked: DataFrame) -> Column:
     """The places 0, 1, .. of the first k rows of a frame with dense places, as an array."""
     return F.array(*map(F.lit, range(min(k, ranked.count())))).cast("array<bigint>")
@@ -65,7 +141,7 @@ def shortlist(frame_from: DataFrame, frame_to: DataFrame, spec: Spec) -> DataFra
     """
     scopes, k = scope_columns(spec), spec.max_candidates
     ranked_to = with_position(frame_to, ["canonical", "key"], "place")
-    pairs = similar_pairs(frame_from, ranked_to, "ord", "place", scopes)
+    pairs = materialize(top_pairs(frame_from, ranked_to, "ord", "place", scopes, k))
     best = Window.partitionBy("ord").orderBy(F.desc("score"), "place")
     top = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     full = top.groupBy("ord").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("ord")
