@@ -245,7 +245,7 @@ def _live(df_from: DataFrame, df_to: DataFrame, spec: Spec, asking: Asking, logs
     decisions, noted = _decided(all_, candidates, spec, asking, logs, log)
     failed = C.still_failed(decisions).count()
     if failed:
-        warnings.append(f"{failed} from-rows failed adjudication and are marked unknown.")
+        warnings.append(f"{failed} earlier units got no decision and are unknown for now; a later run asks again.")
     crosswalk = materialize(C.crosswalk_rows(all_.frame_from, all_.frame_to, decisions, candidates, spec, run_key))
     stage = {"error_from_rows": failed} | noted | {"second_stage_attempted_rows": 0, "second_stage_rewritten_rows": 0, "second_stage_failed_rows": 0}
     side = R.primary_side(spec)
