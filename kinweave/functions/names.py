@@ -12,9 +12,11 @@ TOKEN_WEIGHT, NGRAM_WEIGHT = 0.55, 0.45
 def nfkc(text: Column) -> Column:
     """Unicode NFKC by the ICU library that comes with Spark; null is the empty string.
 
-    Spark takes a reflected call for non-deterministic, so it belongs into a select, not into a join or grouping.
+    ASCII text is its own NFKC, so only other text pays for the reflected call. Spark takes that for non-deterministic,
+    so it belongs into a select, not into a join or grouping.
     """
-    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
+    given = F.coalesce(text, F.lit(""))
+    return F.when(given.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), given, F.lit(True))).otherwise(given)
 
 
 def canonical(text: Column, *, compose: bool = True) -> Column:

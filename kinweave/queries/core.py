@@ -198,6 +198,29 @@ def units_shortlist(spark: SparkSession, folder: str) -> DataFrame:
     return shortlist(f, t, spec)
 
 
+def _units_run(spark: SparkSession, folder: str) -> tuple:
+    """Exact matches, shortlist, rules and crosswalk over the whole unit tables."""
+    spec = Spec("Velmaria", 2001, 2011, "subdistrict", exact_match=("state", "district"), string_exact_match_prune="from", order_from=("ord",), order_to=("ord",), id_col_from="unit_id", id_col_to="unit_id")
+    f, t = (materialize(work_frame(spark.read.parquet(f"{folder}/{s}_units.parquet"), s, spec)) for s in ("from", "to"))
+    exact = materialize(exact_matches(f, t, spec))
+    rest_from, rest_to = prune(f, t, exact, spec)
+    candidates = materialize(shortlist(rest_from, rest_to, spec))
+    decisions = materialize(A.exact_decisions(exact, spec).unionByName(A.rule_decisions(rest_from, candidates, spec)))
+    return materialize(C.crosswalk_rows(f, t, decisions, candidates, spec, "run")), f, t, spec
+
+
+def units_crosswalk(spark: SparkSession, folder: str) -> DataFrame:
+    return _units_run(spark, folder)[0].select("from_key", "to_key", "from_name", "to_name", "score", "link_type", "merge", "state", "district")
+
+
+def units_rescue(spark: SparkSession, folder: str) -> DataFrame:
+    """The crosswalk after every unmatched unit was searched for in the whole other table by its name and its first word."""
+    rows, f, t, spec = _units_run(spark, folder)
+    items = materialize(R.pending(rows, "from").withColumn("lineage_hint", F.split("primary_name", " ")[0]))
+    ranked = materialize(R.global_shortlist(items, t, spec))
+    return R.rewrite(rows, R.hinted_decisions(items, ranked, spec), ranked, f, t, spec, "from", "run").select("from_key", "to_key", "from_name", "to_name", "score", "link_type", "merge", "lineage_hint")
+
+
 def units_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Flags of the given crosswalk, whose few keys hold most rows."""
     return C.with_flags(spark.read.parquet(f"{folder}/crosswalk.parquet").drop("review_flags", "review_reason")).select("ord", "review_reason")
@@ -211,7 +234,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_names, name_tokens, char_trigrams, collapse_duplicates, collapse_report_row, scope_overlap, exact_pairs, prune_from, prune_to, pair_similarity, shortlist_topk, global_shortlist, preview_scopes, preview_summary,
-        rule_based_decisions, crosswalk, review_flags, review_queue, coverage, run_summary, rescue_shortlist, rescue_crosswalk, latest_decisions, failed_keys, fingerprint_rows, units_shortlist, units_flags, units_coverage,
+        rule_based_decisions, crosswalk, review_flags, review_queue, coverage, run_summary, rescue_shortlist, rescue_crosswalk, latest_decisions, failed_keys, fingerprint_rows, units_shortlist, units_crosswalk, units_rescue, units_flags, units_coverage,
     )
 }
 
