@@ -89,6 +89,11 @@ def oracle_sql() -> dict[str, str]:
         record AS (SELECT ord, u, CASE WHEN s IS NULL OR d IS NULL THEN coalesce(s, d) ELSE least(s, d) END AS a,
                           CASE WHEN s IS NULL OR d IS NULL THEN NULL ELSE greatest(s, d) END AS b FROM form)"""
     return {
+        "p1_found": r"""
+            WITH RECURSIVE row AS (SELECT DISTINCT from_key AS a, to_key AS b FROM crosswalk WHERE from_key IS NOT NULL AND to_key IS NOT NULL AND lower(regexp_replace(link_type, '^\s+|\s+$', '', 'g')) IN ('rename', 'split', 'merge', 'transfer')),
+            tie AS (SELECT a, b FROM row UNION SELECT b, a FROM row),
+            reach AS (SELECT a AS k, a AS r FROM tie UNION SELECT reach.k, tie.b FROM reach JOIN tie ON tie.a = reach.r)
+            SELECT k AS unit_key, min(r) AS group_id FROM reach GROUP BY k""",
         "p4_found": f"{records}, first AS (SELECT ord, min(ord) OVER (PARTITION BY a, b, u) AS keep_ord FROM record) SELECT keep_ord, ord AS copy_ord FROM first WHERE ord <> keep_ord",
         "p4_copies": f"{records} SELECT min(ord) AS keep_ord, count(*) AS copies FROM record GROUP BY a, b, u",
         "p5_found": """
