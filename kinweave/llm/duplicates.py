@@ -18,7 +18,7 @@ from kinweave.operators.balance import fragment_replicate_join, plan
 from kinweave.session import materialize
 
 #: Records that one bucket may hold.
-BUCKET_LIMIT = 50_000
+BUCKET_LIMIT = 100_000
 
 
 def letters_and_digits(text: F.Column) -> F.Column:
@@ -112,16 +112,16 @@ def _count_locally(limit: int):
 
 @F.pandas_udf(IntegerType())
 def _split_depth(lo: pd.Series, hi: pd.Series) -> pd.Series:
-    """Bytes up to the first one in which the smallest and the largest key of a bucket differ."""
-    return pd.Series([_common(bytes(a), bytes(b)) + 1 for a, b in zip(lo, hi)], dtype="int32")
+    """Bytes up to the first one in which the smallest and the largest key of a bucket differ, and one more."""
+    return pd.Series([_common(bytes(a), bytes(b)) + 2 for a, b in zip(lo, hi)], dtype="int32")
 
 
 def radix_buckets(records: DataFrame, limit: int) -> list[DataFrame]:
     """records(k, ..) with their bucket, a prefix of k, in tables of one level each; a bucket has at most `limit` rows
     unless all of them are one key.
 
-    On every level the buckets that are too large are split at the first byte that tells their keys apart; only their
-    rows go on. Sizes are counted before rows move and stay in the cluster: the driver learns whether there is a next
+    On every level the buckets that are too large are split at the first byte that tells their keys apart, and the one
+    after it; only their rows go on. Sizes are counted before rows move and stay in the cluster: the driver learns whether there is a next
     level. Buckets of one prefix length differ from those of another, since a prefix is settled once.
     """
     live, settled = records.withColumn("bucket", F.lit(b"")), []
