@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.duplicates import letters_and_digits
-from kinweave.llm.names import closing_words, folded, parsed, probing_segments, reference_segments
+from kinweave.llm.names import closing_words, folded, parsed, probing_segments, reference_segments, with_words
 from kinweave.session import materialize
 
 #: Edits within which names and places can be the same.
@@ -160,9 +160,10 @@ def link(lost: DataFrame, units: DataFrame) -> tuple[DataFrame, Model]:
     rows = lost.select(F.col("ord").alias("lost_ord"), "name", "state", "district")
     distinct = materialize(rows.where(F.col("name").rlike(r"(?U)\S")).groupBy("name", "state", "district").agg(F.min("lost_ord").alias("id")))
     named = units.where("name IS NOT NULL").select("ord", "name", "state", "district")
-    closing = closing_words(named.select("name"), "name")
-    left = _places(spark, materialize(spark.sql(parsed("{t}", "name", closing), t=distinct)))
-    right = _places(spark, materialize(spark.sql(parsed("{t}", "name", closing), t=named)))
+    named = materialize(spark.sql(with_words("{t}", "name"), t=named))
+    closing = closing_words(named, "name")
+    left = _places(spark, spark.sql(parsed("{t}", "name", closing), t=distinct))
+    right = _places(spark, spark.sql(parsed("{t}", None, closing), t=named))
     right = right.withColumns({"x": F.least("a", "b"), "y": F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.greatest("a", "b"))}).where("stem <> ''")
     similar = _similar_places(spark, left, right)
     same = _same_places(spark, left, right, similar)

@@ -55,13 +55,20 @@ def _words(column: str) -> str:
 _NUMBER = "x RLIKE '^[0-9]+$'"
 
 
+def with_words(source: str, column: str) -> str:
+    """SELECT all columns of source and _a, the words of a name, for closing_words and parsed."""
+    return f"SELECT *, {_words(column)} AS _a FROM {source}"
+
+
 def closing_words(names: DataFrame, column: str) -> list[str]:
     """The words of letters that end a share of all names and occur with several stems, or with one that goes without
-    them or with others too; in order. A list of any size has at most 200, so the driver can hold them.
+    them or with others too; in order. A list of any size has at most 200, so the driver can hold them. Names that have
+    their words already (_a) aren't read again.
     """
+    words = "_a" if "_a" in names.columns else _words(column)
     found = names.sparkSession.sql(
         f"""
-        WITH word AS (SELECT DISTINCT filter(w, x -> NOT ({_NUMBER})) AS w FROM (SELECT {_words(column)} AS w FROM {{names}})),
+        WITH word AS (SELECT DISTINCT filter(w, x -> NOT ({_NUMBER})) AS w FROM (SELECT {words} AS w FROM {{names}})),
         name AS (SELECT DISTINCT CASE WHEN size(w) > 1 THEN element_at(w, -1) END AS last, array_join(CASE WHEN size(w) > 1 THEN slice(w, 1, size(w) - 1) ELSE w END, '') AS stem FROM word WHERE size(w) > 0),
         several AS (SELECT stem FROM name GROUP BY stem HAVING count(*) > 1),
         ends AS (SELECT last, count(*) AS n, count(s.stem) AS shared FROM name LEFT JOIN several s ON name.stem = s.stem WHERE last RLIKE '^\\\\p{{{{L}}}}+$' GROUP BY last)
@@ -91,8 +98,8 @@ def _closing_of(word: str, closing: list[str], shortened: bool) -> str:
     return f"CASE WHEN {word} IS NULL THEN {listed([])} WHEN array_contains({listed(closing)}, {word}) THEN {exact} WHEN size({short}) > 0 THEN {short} ELSE {near} END"
 
 
-def parsed(source: str, column: str, closing: list[str], *, shortened: bool = True) -> str:
-    """SELECT all columns of source and stem, dirs, nums of a name.
+def parsed(source: str, column: str | None, closing: list[str], *, shortened: bool = True) -> str:
+    """SELECT all columns of source and stem, dirs, nums of a name; without a column of a source that has its words (_a).
 
     dirs holds the closing words its last or first word can mean (none, mostly one); nums the numbers in it. A null
     name has the stem of an empty one. Characters that are no letter, mark or number of any script part words.
@@ -104,7 +111,7 @@ def parsed(source: str, column: str, closing: list[str], *, shortened: bool = Tr
              CASE WHEN size(_last) > 0 THEN _last ELSE _first END AS dirs, _n AS nums
       FROM (SELECT *, {_closing_of("CASE WHEN size(_w) > 1 THEN _w[size(_w) - 1] END", closing, shortened)} AS _last, {_closing_of("CASE WHEN size(_w) > 1 THEN _w[0] END", closing, shortened)} AS _first
             FROM (SELECT * EXCEPT (_a), filter(_a, x -> {_NUMBER}) AS _n, filter(_a, x -> NOT ({_NUMBER})) AS _w
-                  FROM (SELECT *, {_words(column)} AS _a FROM {source})))"""
+                  FROM ({with_words(source, column) if column else source})))"""
 
 
 def _segment(n: str, i: str, k: int) -> tuple[str, str]:
