@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-CORE = ("canonical_names", "collapse_duplicates", "exact_pairs", "shortlist_topk", "rescue_crosswalk", "units_flags", "p6_found", "p6_from_keys")
+CORE = ("canonical_names", "collapse_duplicates", "exact_pairs", "shortlist_topk", "rescue_crosswalk", "units_flags", "p6_found", "p6_from_keys", "adjudicated_crosswalk", "rescue_choices", "resumed_decisions", "matched_types", "order_fingerprint")
 
 
 def plain(v):
