@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.duplicates import letters_and_digits
-from kinweave.llm.names import closing_words, folded, parsed, probing_segments, reference_segments, with_words
+from kinweave.llm.names import closing_words, first_shared, folded, parsed, probing_segments, reference_segments, with_words
+from kinweave.operators.balance import fragment_replicate_sides, plan
 from kinweave.session import materialize
 
 #: Edits within which names and places can be the same.
@@ -23,6 +24,8 @@ LEAST_CONFIDENCE = 0.5
 #: Levels of each compared field. name: equal, 1 edit, 2 edits, another (further, or of another closing word or number);
 #: direction, number: same, other; place: equal, close, missing.
 LEVELS = {"name": 4, "direction": 2, "number": 2, "place_a": 3, "place_b": 3}
+#: Level of the name that is another one. Such pairs are counted for the model, not kept.
+OTHER_NAME = 3
 #: Levels that mean that a field isn't known.
 MISSING = {"place_a": 2, "place_b": 2}
 
@@ -113,28 +116,28 @@ def _similar_places(spark, left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _same_places(spark, lost: DataFrame, units: DataFrame, similar: DataFrame) -> DataFrame:
-    """Columns a, b, x, y, place_a, place_b: pairs of places (a, b) of lost and sorted pairs (x, y) of units.
+    """Columns a, b, place, place_a, place_b, near: places (a, b) of lost and the keys of those of units they can be.
 
     Both places have to be alike, in either order; one may be missing on one side, then the other has to be alike.
+    Where it is missing in lost, the key is that of one place (_one_place), however many pairs it is in; near then has
+    the levels of all places that are alike.
     """
     return materialize(
         spark.sql(
-            """
-            WITH one AS (SELECT DISTINCT a, b FROM {lost}), two AS (SELECT DISTINCT x, y FROM {units}),
-            half AS (SELECT x AS p, x, y FROM two WHERE x IS NOT NULL UNION SELECT y AS p, x, y FROM two WHERE y IS NOT NULL)
-            SELECT a, b, x, y, min(place_a) AS place_a, min(place_b) AS place_b FROM (
+            f"""
+            WITH one AS (SELECT DISTINCT a, b FROM {{lost}}), two AS (SELECT DISTINCT x, y FROM {{units}}),
+            half AS (SELECT a, b, near FROM one JOIN (SELECT p, map_from_entries(collect_list(struct(q, level))) AS near FROM {{similar}} GROUP BY p) ON p = coalesce(a, b) WHERE a IS NULL OR b IS NULL)
+            SELECT a, b, {_both_places("x", "y")} AS place, min(place_a) AS place_a, min(place_b) AS place_b, CAST(NULL AS MAP<STRING, INT>) AS near FROM (
               SELECT o.a, o.b, t.x, t.y, s.level AS place_a, r.level AS place_b
-              FROM one o JOIN {similar} s ON o.a = s.p JOIN {similar} r ON o.b = r.p
+              FROM one o JOIN {{similar}} s ON o.a = s.p JOIN {{similar}} r ON o.b = r.p
               JOIN two t ON t.x = least(s.q, r.q) AND t.y = greatest(s.q, r.q)
               UNION ALL
-              SELECT o.a, o.b, t.x, t.y, s.level, 2 FROM one o JOIN {similar} s ON o.a = s.p JOIN two t ON t.x = s.q AND t.y IS NULL
-              UNION ALL
-              SELECT o.a, o.b, t.x, t.y, 2, s.level FROM one o JOIN {similar} s ON o.b = s.p JOIN two t ON t.x = s.q AND t.y IS NULL
-              UNION ALL
-              SELECT o.a, o.b, h.x, h.y, s.level, 2 FROM one o JOIN {similar} s ON o.a = s.p JOIN half h ON h.p = s.q WHERE o.b IS NULL AND h.y IS NOT NULL
+              SELECT o.a, o.b, t.x, t.y, s.level, 2 FROM one o JOIN {{similar}} s ON o.a = s.p JOIN two t ON t.x = s.q AND t.y IS NULL
               UNION ALL
-              SELECT o.a, o.b, h.x, h.y, 2, s.level FROM one o JOIN {similar} s ON o.b = s.p JOIN half h ON h.p = s.q WHERE o.a IS NULL AND h.y IS NOT NULL)
+              SELECT o.a, o.b, t.x, t.y, 2, s.level FROM one o JOIN {{similar}} s ON o.b = s.p JOIN two t ON t.x = s.q AND t.y IS NULL)
             GROUP BY a, b, x, y
+            UNION ALL
+            SELECT a, b, {_one_place("q")}, if(a IS NULL, 2, 0), if(b IS NULL, 2, 0), near FROM (SELECT *, explode(map_keys(near)) AS q FROM half)
             """,
             lost=lost,
             units=units,
@@ -143,6 +146,61 @@ def _same_places(spark, lost: DataFrame, units: DataFrame, similar: DataFrame) -
     )
 
 
+def _both_places(x: str, y: str) -> str:
+    """The key of two places, the second of which may be missing; places are letters and digits."""
+    return f"concat_ws('|', {x}, coalesce({y}, ''))"
+
+
+def _one_place(p: str) -> str:
+    """The key of one place of a unit that has two."""
+    return f"concat('|', {p})"
+
+
+def _compared(spark, placed: DataFrame, unit: DataFrame) -> DataFrame:
+    """Columns id, to_ord, the levels and spelling (null for another name) of every pair whose place has the same key and
+    whose names share a segment, once each.
+
+    Rows are moved by the key of their place only, packed to tasks by load, and meet by segments where they are. Of a
+    place with many units the rows go to several tasks and the lost rows without the other place to each of them; of
+    units without another place, which are few, to each task of the lost rows. No pair moves.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = placed.where("near IS NOT NULL").select("place").distinct()
+    single = spark.sql(f"SELECT {_one_place('p')} AS place, if(p = x, y, x) AS other, to_ord, stem, dirs, nums, spelled FROM (SELECT *, explode(array_distinct(array(x, y))) AS p FROM {{u}} WHERE y IS NOT NULL)", u=unit)
+    single = materialize(single.join(asked, "place", "left_semi"))
+    double = spark.sql(f"SELECT {_both_places('x', 'y')} AS place, CAST(NULL AS STRING) AS other, to_ord, stem, dirs, nums, spelled FROM {{u}}", u=unit)
+
+    def pairs(lost: DataFrame, units: DataFrame, spread_units: bool) -> DataFrame:
+        count = lambda t, c: t.groupBy("place").agg(F.count("*").alias(c))
+        loads = materialize(count(lost, "l").join(count(units, "u"), "place").select("place", F.expr("19 * l + 3 * u + l * u DIV 200").alias("load")))
+        by = plan(loads, "place", "load", tasks=tasks)
+        if spread_units:
+            units, lost = fragment_replicate_sides(units, lost, "place", ["to_ord"], by)
+        else:
+            lost, units = fragment_replicate_sides(lost, units, "place", ["id"], by)
+        return spark.sql(
+            f"""
+            WITH piece AS ({reference_segments("{units}", "stem", MAX_EDITS)}), probe AS ({probing_segments("{lost}", "stem", MAX_EDITS)}),
+            met AS (
+              SELECT l.id, r.to_ord, levenshtein(l.stem, r.stem, {MAX_EDITS}) AS edits, l.stem RLIKE '[^a-z]' AS other_script, length(r.stem) AS stem_length,
+                CASE WHEN size(l.dirs) = 0 AND size(r.dirs) = 0 OR arrays_overlap(l.dirs, r.dirs) THEN 0 ELSE 1 END AS direction,
+                CASE WHEN l.nums = r.nums THEN 0 ELSE 1 END AS number,
+                l.place_a, l.place_b, least(l.near[substring(l.place, 2)], l.near[r.other]) AS alike, l.spelled AS typed, r.spelled AS printed
+              FROM (SELECT *, xxhash64(place, _shard, _n, _i, _seg) AS at FROM probe) l JOIN (SELECT _task, place, _shard, to_ord, stem, dirs, nums, spelled, other, xxhash64(place, _shard, _n, _i, _seg) AS at FROM piece) r
+                ON l.at = r.at AND l._task = r._task AND l.place = r.place AND l._shard = r._shard
+              WHERE {first_shared("l.stem", "r.stem", MAX_EDITS)} AND (l.near IS NULL OR l.near[r.other] IS NULL OR substring(l.place, 2) <= r.other)),
+            named AS (SELECT *, CAST(CASE WHEN edits < 0 OR direction = 1 OR number = 1 OR other_script AND edits * 3 > stem_length THEN {OTHER_NAME} ELSE edits END AS INT) AS name FROM met)
+            SELECT id, to_ord, name, direction, number, CAST(if(place_a = 2, 2, coalesce(alike, place_a)) AS INT) AS place_a, CAST(if(place_b = 2, 2, coalesce(alike, place_b)) AS INT) AS place_b,
+              CASE WHEN name < {OTHER_NAME} THEN levenshtein(typed, printed) END AS spelling, typed, printed
+            FROM named
+            """,
+            units=units,
+            lost=lost,
+        )
+
+    return pairs(placed.where("near IS NULL"), double, False).unionByName(pairs(placed.where("near IS NOT NULL"), single, True))
+
+
 def link(lost: DataFrame, units: DataFrame) -> tuple[DataFrame, Model]:
     """Columns ord, to_ord, confidence: each row of lost(ord, name, state, district) and the row of units with the same
     columns that is the same place, if there is one; and the fitted model.
@@ -170,36 +228,17 @@ def link(lost: DataFrame, units: DataFrame) -> tuple[DataFrame, Model]:
     spelled = letters_and_digits(F.col("name"))
     unit = materialize(right.withColumn("spelled", spelled).groupBy("x", "y", "stem", "dirs", "nums", "spelled").agg(F.min("ord").alias("to_ord")))
     keyed = left.where("stem <> ''").withColumn("spelled", spelled).select("id", "stem", "dirs", "nums", "spelled", F.coalesce("a", F.lit("")).alias("ka"), F.coalesce("b", F.lit("")).alias("kb"))
-    placed = keyed.join(same.select(F.coalesce("a", F.lit("")).alias("ka"), F.coalesce("b", F.lit("")).alias("kb"), "x", F.coalesce("y", F.lit("")).alias("y"), "place_a", "place_b"), ["ka", "kb"]).drop("ka", "kb")
-    placed = materialize(placed.withColumn("row", F.monotonically_increasing_id()))
-    shared = spark.sql(
-        f"""
-        WITH piece AS ({reference_segments("{unit}", "stem", MAX_EDITS)}), probe AS ({probing_segments("{placed}", "stem", MAX_EDITS)})
-        SELECT DISTINCT l.row, r.to_ord
-        FROM (SELECT row, xxhash64(x, y, _n, _i, _seg) AS at FROM probe) l JOIN (SELECT to_ord, xxhash64(x, coalesce(y, ''), _n, _i, _seg) AS at FROM piece) r ON l.at = r.at
-        """,
-        placed=placed,
-        unit=unit,
-    )
-    pairs = spark.sql(
-        f"""
-        SELECT id, to_ord, CAST(CASE WHEN edits < 0 OR direction = 1 OR number = 1 OR other_script AND edits * 3 > stem_length THEN 3 ELSE edits END AS INT) AS name, direction, number, place_a, place_b, spelling
-        FROM (
-        SELECT l.id, r.to_ord, levenshtein(l.stem, r.stem, {MAX_EDITS}) AS edits, l.stem RLIKE '[^a-z]' AS other_script, length(r.stem) AS stem_length,
-          CASE WHEN size(l.dirs) = 0 AND size(r.dirs) = 0 OR arrays_overlap(l.dirs, r.dirs) THEN 0 ELSE 1 END AS direction,
-          CASE WHEN l.nums = r.nums THEN 0 ELSE 1 END AS number,
-          CAST(l.place_a AS INT) AS place_a, CAST(l.place_b AS INT) AS place_b, levenshtein(l.spelled, r.spelled) AS spelling
-        FROM {{shared}} s JOIN {{placed}} l ON s.row = l.row JOIN {{unit}} r ON s.to_ord = r.to_ord
-        WHERE l.x = r.x AND l.y = coalesce(r.y, ''))
-        """,
-        shared=shared,
-        placed=placed,
-        unit=unit,
-    )
-    pairs = materialize(pairs)
-    patterns = [(tuple(r[f] for f in LEVELS), r["n"]) for r in pairs.groupBy(*LEVELS).agg(F.count("*").alias("n")).collect()]
+    placed = keyed.join(same.select(F.coalesce("a", F.lit("")).alias("ka"), F.coalesce("b", F.lit("")).alias("kb"), "place", "place_a", "place_b", "near"), ["ka", "kb"]).drop("ka", "kb")
+    compared = _compared(spark, materialize(placed), unit)
+    known = F.col("name") < OTHER_NAME
+    counted = materialize(compared.groupBy(*LEVELS, *[F.when(known, F.col(c)).alias(c) for c in ("id", "to_ord", "spelling")]).agg(F.count("*").alias("n")))
+    patterns = [(tuple(r[f] for f in LEVELS), r["n"]) for r in counted.groupBy(*LEVELS).agg(F.sum("n").alias("n")).collect()]
     model = fit(patterns)
-    agreed = pairs.withColumn("odds", match_odds(model)).where(F.col("odds") >= np.log(LEAST_CONFIDENCE / (1 - LEAST_CONFIDENCE)))
+    agrees = F.col("odds") >= np.log(LEAST_CONFIDENCE / (1 - LEAST_CONFIDENCE))
+    agreed = counted.where(known).withColumn("odds", match_odds(model)).where(agrees).select("id", "to_ord", "spelling", "odds")
+    if not counted.where(~known).withColumn("odds", match_odds(model)).where(agrees).isEmpty():
+        others = compared.where(~known).withColumn("odds", match_odds(model)).where(agrees)
+        agreed = agreed.union(others.select("id", "to_ord", F.levenshtein("typed", "printed"), "odds"))
     best = agreed.groupBy("id").agg(F.min(F.struct((-F.col("odds")).alias("c"), "spelling", "to_ord")).alias("best")).select("id", "best.to_ord", (1 / (1 + F.exp("best.c"))).alias("confidence"))
     matched = distinct.join(best, "id").select(F.col("name").alias("n"), F.col("state").alias("s"), F.col("district").alias("d"), "to_ord", "confidence")
     found = rows.join(matched, F.col("name").eqNullSafe(F.col("n")) & F.col("state").eqNullSafe(F.col("s")) & F.col("district").eqNullSafe(F.col("d")))

@@ -127,7 +127,7 @@ def reference_segments(source: str, column: str, k: int) -> str:
 
 
 def probing_segments(source: str, column: str, k: int) -> str:
-    """SELECT all columns of source and _n, _i, _seg: substrings that equal a segment of any string within k edits.
+    """SELECT all columns of source and _n, _i, _shift, _seg: substrings that equal a segment of any string within k edits.
 
     Of strings within k edits at least one segment is unchanged, shifted by at most the edits before it and after it.
     """
@@ -136,8 +136,22 @@ def probing_segments(source: str, column: str, k: int) -> str:
     low = f"greatest(-_i, {delta} - ({k} - _i))"
     high = f"least(_i, {delta} + ({k} - _i))"
     return f"""
-      SELECT * EXCEPT (_shift), substring({column}, {start} + _shift, {length}) AS _seg
+      SELECT *, substring({column}, {start} + _shift, {length}) AS _seg
       FROM (SELECT *, explode(CASE WHEN {low} <= {high} THEN sequence({low}, {high}) ELSE array() END) AS _shift
             FROM (SELECT *, explode(sequence(0, {k})) AS _i
                   FROM (SELECT *, explode(sequence(greatest(0, length({column}) - {k}), length({column}) + {k})) AS _n FROM {source})))
       WHERE {start} + _shift >= 1 AND {start} + _shift + {length} - 1 <= length({column})"""
+
+
+def first_shared(probe: str, reference: str, k: int) -> str:
+    """Whether _i and _shift are those of the first segment that two strings share, so that of all rows of a pair that
+    share a segment one is kept, without gathering them.
+    """
+    delta = f"(length({probe}) - length({reference}))"
+    cases = []
+    for i in range(k + 1):
+        start, length = _segment(f"length({reference})", str(i), k)
+        for shift in range(-i, i + 1):
+            near = f"{shift} BETWEEN {delta} - {k - i} AND {delta} + {k - i} AND {start} + {shift} >= 1"
+            cases.append(f"WHEN {near} AND substring({probe}, {start} + {shift}, {length}) = substring({reference}, {start}, {length}) THEN _i = {i} AND _shift = {shift}")
+    return f"CASE {' '.join(cases)} ELSE false END"

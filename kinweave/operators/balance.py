@@ -81,15 +81,23 @@ def _at_its_task(rows: DataFrame, key: str, by: Plan) -> DataFrame:
     return rows.withColumn("_at", at).join(F.broadcast(by.places), "_at").drop("_at")
 
 
+def fragment_replicate_sides(left: DataFrame, right: DataFrame, key: str, spread: list[str], by: Plan) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _task and _shard, partitioned by the task that the plan gave each bin and shard: the left rows of a
+    large key go to its shards, its right rows to each of these shards. What is joined on _task, key, _shard and more is
+    joined where it is.
+    """
+    left_side = place(left, key, spread, by).repartitionById(by.tasks, F.col("_task"))
+    shards = F.explode(F.sequence(F.lit(0), F.coalesce("_shards", F.lit(1)) - 1)).alias("_shard")
+    copies = right.join(F.broadcast(by.heavy), key, "left").select(*right.columns, "_first", shards)
+    return left_side, _at_its_task(copies, key, by).select(*right.columns, "_shard", "_task").repartitionById(by.tasks, F.col("_task"))
+
+
 def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], by: Plan) -> DataFrame:
     """Inner join on key: the left rows of a large key go to its shards, its right rows to each of these shards.
 
     Both sides are partitioned by the task that the plan gave each bin and shard, and joined where they are.
     """
-    left_side = place(left, key, spread, by).repartitionById(by.tasks, F.col("_task"))
-    shards = F.explode(F.sequence(F.lit(0), F.coalesce("_shards", F.lit(1)) - 1)).alias("_shard")
-    copies = right.join(F.broadcast(by.heavy), key, "left").select(*right.columns, "_first", shards)
-    right_side = _at_its_task(copies, key, by).select(*right.columns, "_shard", "_task").repartitionById(by.tasks, F.col("_task"))
+    left_side, right_side = fragment_replicate_sides(left, right, key, spread, by)
     return left_side.join(right_side, ["_task", key, "_shard"]).drop("_task", "_shard")
 
 

@@ -203,3 +203,25 @@ def test_templates_cut_at_one_length_are_no_formula(spark):
     formula = [f"{'.  '.join(rng.choice(some) for _ in range(2 + i))}. Happy customers praise the kettle" for i in range(5)]
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate([*inside, *between, *formula, *whole])], "doc_id long, text string, title string")
     assert {r["doc_id"] for r in truncation.find_cut(docs, "doc_id", "text", "title").where("cut").collect()} == set(range(12))
+
+
+def test_rows_without_a_district_stay_few(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5))
+    units = [(i, word().title(), "Karvana", word(), "") for i in range(200)] + [(200, "Solanadur", "Karvana", "Karvanna", "")]
+    lost = [(i, u[1][:4] + u[1][5:], "Karvana", None, "") for i, u in enumerate(units)]
+    written, write = [], linkage.materialize
+
+    def counting(df, **options):
+        written.append((table := write(df, **options)).count())
+        return table
+
+    monkeypatch.setattr(linkage, "materialize", counting)
+    left, right = spark.createDataFrame(lost, PLACE), spark.createDataFrame(units, PLACE)
+    got = [(r["ord"], r["to_ord"]) for r in linkage.link(left, right)[0].collect()]
+    assert sorted(got) == [(i, i) for i in range(201)]
+    assert max(written) <= 2 * len(units) + 2  # not rows without a district times the districts of their state
+    likely = linkage.Model(0.5, *({f: [p] * n for f, n in linkage.LEVELS.items()} for p in (0.9, 0.1)), 1)
+    monkeypatch.setattr(linkage, "fit", lambda patterns: likely)
+    other = spark.createDataFrame([(0, "Bodu" + units[0][1][4:], "Karvana", None, "")], PLACE)
+    assert [r["to_ord"] for r in linkage.link(other, right.where("ord = 0"))[0].collect()] == [0]  # another name counts if the model says so
