@@ -225,3 +225,16 @@ def test_rows_without_a_district_stay_few(spark, monkeypatch):
     monkeypatch.setattr(linkage, "fit", lambda patterns: likely)
     other = spark.createDataFrame([(0, "Bodu" + units[0][1][4:], "Karvana", None, "")], PLACE)
     assert [r["to_ord"] for r in linkage.link(other, right.where("ord = 0"))[0].collect()] == [0]  # another name counts if the model says so
+
+
+def test_endings_meet_by_the_bands_they_share():
+    rng = random.Random(11)
+    tail = [rng.choice("abcdefgh") * rng.randint(2, 5) for _ in range(60)]
+    texts = [" ".join(w if rng.random() > share else "other" for w in tail[:-4]) + " " + " ".join(tail[-4:]) for share in (0, 0.02, 0.05, 0.1, 0.2) for _ in range(12)]
+    words = truncation.Words.of(texts)
+    ends = words.starts[1:] - 4
+    bands, meet = words.endings[:, ends], words.meeting[:, ends]
+    shared = [(int((bands[:, i] == bands[:, j]).sum()), bool((meet[:, i] == meet[:, j]).any())) for i in range(len(texts)) for j in range(i)]
+    assert all(met == (n >= truncation.LEAST_BANDS) for n, met in shared) and {n for n, _ in shared} >= {0, 1, 2, 4}
+    tails = words.tails(list(range(len(texts))))
+    assert (tails.meeting[:, tails.starts[1:] - 4] == meet).all()
