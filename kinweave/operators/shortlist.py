@@ -16,6 +16,7 @@ from kinweave.functions.names import combined, cosine, jaccard, tokens, trigrams
 from kinweave.operators.exact import same_scope
 from kinweave.operators.order import with_position
 from kinweave.operators.prepare import scope_columns
+from kinweave.operators.search import searched
 from kinweave.plans.spec import Spec
 from kinweave.session import materialize
 
@@ -82,10 +83,24 @@ def top_pairs(left: DataFrame, right: DataFrame, row_left: str, row_right: str,
     Ties go to the smaller row_right, which has to grow with canonical. Names are compared once, however many rows have
     them. The most frequent features of a name, as many as can't reach SKIP together, make no pairs at first; bounds on
     what they add tell which pairs can be among the k best, and only these are scored in full. A name whose k-th score
-    isn't above SKIP then meets all names that share any feature, so that the result is that of all pairs.
+    isn't above SKIP then meets all names that share any feature, so that the result is that of all pairs. Without scopes
+    nearly all names share one, so blocks of both sides are searched instead (search.py), with the same result.
     """
     names = materialize(left.select(*scopes, "canonical").distinct().withColumn("lid", F.monotonically_increasing_id()))
     others = materialize(right.groupBy(*scopes, "canonical").agg(F.min(row_right).alias("first")).withColumn("rid", F.monotonically_increasing_id()))
+    sums = _sums_of_best(names, others, scopes, k) if scopes else searched(names, others, k)
+    best = Window.partitionBy("lid").orderBy(F.desc("score"), "first")
+    scored = _scored(sums).join(others.select("rid", "first"), "rid").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    same = lambda x, y: reduce(Column.__and__, [x[s].eqNullSafe(y[s]) for s in scopes], x["canonical"] == y["canonical"])
+    rows_l, rows_r = left.select(row_left, *scopes, "canonical"), right.select(row_right, *scopes, "canonical")
+    rows_l = rows_l.join(names, same(rows_l, names)).select(row_left, "lid")
+    rows_r = rows_r.join(others, same(rows_r, others)).select(row_right, "rid").withColumn("m", F.row_number().over(Window.partitionBy("rid").orderBy(row_right))).where(F.col("m") <= k)
+    of_rows = scored.drop("n").join(rows_r.drop("m"), "rid").withColumn("n", F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("score"), row_right))).where(F.col("n") <= k)
+    return rows_l.join(of_rows, "lid").select(row_left, row_right, "score", "token_jaccard", "ngram_cosine")
+
+
+def _sums_of_best(names: DataFrame, others: DataFrame, scopes: list[str], k: int) -> DataFrame:
+    """The sums of each name (lid, scopes, canonical) with those others (rid, ..) that can be among its k best."""
     b = materialize(postings(others, "rid", scopes))
     spread = b.groupBy(*[F.col(s).alias(f"d_{s}") for s in scopes], F.col("feature").alias("d_feature")).agg(F.count("*").alias("df"))
     a = postings(names, "lid", scopes)
@@ -110,14 +125,7 @@ def top_pairs(left: DataFrame, right: DataFrame, row_left: str, row_right: str,
     features = b.select("rid", "norm", "words", "feature", "n")
     exact = _pair_sums_of(done, a, features)
     rest = _pair_sums(a.join(done.select("lid").distinct(), "lid", "left_anti"), b, scopes)
-    best = Window.partitionBy("lid").orderBy(F.desc("score"), "first")
-    scored = _scored(exact.unionByName(rest)).join(others.select("rid", "first"), "rid").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
-    same = lambda x, y: reduce(Column.__and__, [x[s].eqNullSafe(y[s]) for s in scopes], x["canonical"] == y["canonical"])
-    rows_l, rows_r = left.select(row_left, *scopes, "canonical"), right.select(row_right, *scopes, "canonical")
-    rows_l = rows_l.join(names, same(rows_l, names)).select(row_left, "lid")
-    rows_r = rows_r.join(others, same(rows_r, others)).select(row_right, "rid").withColumn("m", F.row_number().over(Window.partitionBy("rid").orderBy(row_right))).where(F.col("m") <= k)
-    of_rows = scored.drop("n").join(rows_r.drop("m"), "rid").withColumn("n", F.row_number().over(Window.partitionBy("lid").orderBy(F.desc("score"), row_right))).where(F.col("n") <= k)
-    return rows_l.join(of_rows, "lid").select(row_left, row_right, "score", "token_jaccard", "ngram_cosine")
+    return exact.unionByName(rest)
 
 
 def _pair_sums_of(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

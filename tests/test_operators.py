@@ -1,4 +1,5 @@
 import math
+import random
 import unicodedata
 from collections import Counter
 
@@ -8,12 +9,15 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinweave.functions.names import canonical, tokens, trigrams
+from kinweave.operators import search
+from kinweave.operators import shortlist as shortlist_module
 from kinweave.operators.crosswalk import coverage, review_queue, with_flags
 from kinweave.operators.exact import exact_matches, prune
 from kinweave.operators.order import with_position
 from kinweave.operators.prepare import work_frame
 from kinweave.operators.shortlist import shortlist
 from kinweave.plans.spec import Spec
+from kinweave.session import materialize
 
 UNIT = "ord long, state string, district string, subdistrict string, unit_id string"
 
@@ -95,6 +99,23 @@ def test_shortlist_is_the_brute_force_ranking(spark, scoped):
     assert shortlist(f, t.limit(0), s).collect() == [] and shortlist(f.limit(0), t, s).collect() == []
 
 
+def test_names_without_scope_are_searched_in_blocks(spark, monkeypatch):
+    """No row for every feature that two names share, and with blocks of a few names the ranking of all pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(("ka", "thul", "mor", "é", "पश", "zz")) for _ in range(rng.randint(1, 3)))
+    names = ["", "upper", "_", "𐎠𐎡", *{f"{word()} {rng.choice(('upper', 'lower', word()))}".strip() for _ in range(60)}]
+    s = spec(max_candidates=3)
+    f, t = frame(spark, "from", [(None, None, n, None) for n in [*names[::2], "", "upper upper", "qq"]], s), frame(spark, "to", [(None, None, n, None) for n in names], s)
+    monkeypatch.setattr(search, "BLOCK", 16), monkeypatch.setattr(search, "ASKED", 8)
+    pairs = shortlist(f, t, s)
+    plain = lambda fr: [(r["key"], 0, r["canonical"]) for r in fr.collect()]
+    assert sorted((r["from_key"], r["to_key"], pytest.approx(r["score"], abs=2e-6)) for r in pairs.collect()) == brute(plain(f), plain(t), 3)
+    made: list[set[str]] = []
+    monkeypatch.setattr(shortlist_module, "materialize", lambda df, **more: made.append(set(df.columns)) or materialize(df, **more))
+    shortlist(f, t, s)
+    assert made and not any("feature" in columns for columns in made)
+
+
 def test_ties_go_to_the_smaller_name_then_key(spark):
     s = spec(max_candidates=12)
     to = frame(spark, "to", [("A", str(i), "Same Name", None) for i in range(12)], spec(exact_match=("district",)))
