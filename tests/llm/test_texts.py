@@ -238,3 +238,17 @@ def test_endings_meet_by_the_bands_they_share():
     assert all(met == (n >= truncation.LEAST_BANDS) for n, met in shared) and {n for n, _ in shared} >= {0, 1, 2, 4}
     tails = words.tails(list(range(len(texts))))
     assert (tails.meeting[:, tails.starts[1:] - 4] == meet).all()
+
+
+def test_texts_that_only_share_their_ending_are_not_aligned(spark, monkeypatch):
+    rng, template = random.Random(3), "please write again whenever you like since we answer every letter that comes to the house by the river on the same morning and"
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    start = lambda n: " ".join(word() for _ in range(n))
+    bodies = [start(30) for _ in range(12)]
+    rows = [f"{b} {template}" for b in bodies] + [f"{start(30)} {template} never later than {word()}." for _ in range(12)] + [f"{bodies[0]} {template} never later than noon."]
+    texts = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    pairs = spark.createDataFrame([(i, j, [3]) for i in range(12) for j in range(12, 25)], "id long, other long, places array<int>")
+    monkeypatch.setattr(truncation, "ASKED", 5)
+    kept = {(r["id"], r["other"]) for r in truncation.may_contain(pairs, texts).collect()}
+    enough = lambda a, b: len(np.intersect1d(x := truncation._shingles(a), truncation._shingles(b))) >= truncation.SIMILARITY * len(x)
+    assert kept == {(i, j) for i in range(12) for j in range(12, 25) if enough(rows[i], rows[j])} and kept == {(0, 24)}
